@@ -30,12 +30,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def round_like_sql(c, places: int = 6):
+    """round(x * 10^p) / 10^p with halves away from zero: the form SQL engines use for
+    doubles, so a tie such as 0.6625625 lands on the same side in both engines."""
+    scale = float(10 ** places)
+    return F.round(c.cast("double") * F.lit(scale)) / F.lit(scale)
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Round every floating column (presentation rounding, both engines)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            out.append(F.round(F.col(f.name).cast("double"), places).alias(f.name))
+            out.append(round_like_sql(F.col(f.name), places).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -9,6 +9,7 @@ from scorelab.plans import catalog
 _MODULES = [
     "scorelab.plans.scoring_queries",
     "scorelab.plans.analytics_queries",
+    "scorelab.plans.text_queries",
 ]
 
 
