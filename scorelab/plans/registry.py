@@ -10,6 +10,7 @@ _MODULES = [
     "scorelab.plans.scoring_queries",
     "scorelab.plans.analytics_queries",
     "scorelab.plans.text_queries",
+    "scorelab.plans.stream_queries",
 ]
 
 
