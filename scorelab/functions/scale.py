@@ -12,6 +12,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (Column -> Column).
+
+    Each use of a higher-order-function expression gets fresh lambda variables, so
+    Catalyst cannot share repeated copies of it; binding through a one-element
+    ``transform`` computes it once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def nan_to_null(c) -> Column:
     """NaN -> NULL (Spark's avg/max/comparisons treat NaN as a value)."""
     c = _col(c)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scorelab.functions.scale import _col
+from scorelab.functions.scale import _col, let
 
 # Python's Unicode whitespace (str.isspace / str.strip) as a character class body.
 WS_CHARS = r"\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -100,23 +100,24 @@ def first_json_span(s) -> Column:
 def json_error(s) -> Column:
     """Why T1/T2 failed: no_object, unclosed, invalid_json; NULL when fine."""
     x = _col(s)
-    span = first_json_span(x)
-    return (
-        F.when(x.isNull() | (F.instr(x, "{") == 0), F.lit("no_object"))
-        .when(span.isNull(), F.lit("unclosed"))
-        .when(F.try_parse_json(span).isNull(), F.lit("invalid_json"))
-    )
+    return F.when(x.isNull() | (F.instr(x, "{") == 0), F.lit("no_object")).otherwise(
+        let(first_json_span(x), lambda span: F.when(span.isNull(), F.lit("unclosed")).when(
+            F.try_parse_json(span).isNull(), F.lit("invalid_json"))))
 
 
 def code_field(v) -> Column:
     """The ``code`` string of a parsed object, else ``completion`` when ``code`` is
     missing or JSON null; NULL unless the chosen value is a JSON string."""
     v = _col(v)
-    code = F.try_variant_get(v, "$.code", "variant")
-    comp = F.try_variant_get(v, "$.completion", "variant")
-    code_missing = code.isNull() | (F.schema_of_variant(code) == F.lit("VOID"))
-    chosen = F.when(code_missing, comp).otherwise(code)
-    return F.when(F.schema_of_variant(chosen) == F.lit("STRING"), F.variant_get(chosen, "$", "string"))
+
+    def pick(code, comp):
+        code_missing = code.isNull() | (F.schema_of_variant(code) == F.lit("VOID"))
+        chosen = F.when(code_missing, comp).otherwise(code)
+        return F.when(F.schema_of_variant(chosen) == F.lit("STRING"), F.variant_get(chosen, "$", "string"))
+
+    return let(F.struct(F.try_variant_get(v, "$.code", "variant").alias("c"),
+                        F.try_variant_get(v, "$.completion", "variant").alias("p")),
+               lambda st: pick(st["c"], st["p"]))
 
 
 def extract_code(raw) -> Column:
@@ -133,6 +134,21 @@ def extract_lenient(raw) -> Column:
 def extract_strict(raw) -> Column:
     """T5: struct(code, error): code is the cleaned JSON code field; error says why not."""
     r = _col(raw)
-    code = extract_code(r)
-    err = F.coalesce(json_error(r), F.when(code.isNull(), F.lit("no_code_field")))
-    return F.struct(F.when(err.isNull(), clean_code(code)).alias("code"), err.alias("error"))
+
+    def build(st):
+        span, parsed = st["span"], st["parsed"]
+        err = (
+            F.when(r.isNull() | (F.instr(r, "{") == 0), F.lit("no_object"))
+            .when(span.isNull(), F.lit("unclosed"))
+            .when(parsed.isNull(), F.lit("invalid_json"))
+        )
+
+        def finish(code):
+            e = F.coalesce(err, F.when(code.isNull(), F.lit("no_code_field")))
+            return F.struct(F.when(e.isNull(), clean_code(code)).alias("code"), e.alias("error"))
+
+        return let(code_field(parsed), finish)
+
+    spanned = let(first_json_span(r), lambda span: F.struct(span.alias("span"),
+                                                             F.try_parse_json(span).alias("parsed")))
+    return let(spanned, build)

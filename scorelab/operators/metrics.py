@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.functions.poe import overall_score
-from scorelab.functions.scale import _col, gate, scale_cc, scale_efficiency, scale_lint, scale_loc
+from scorelab.functions.scale import _col, gate, let, scale_cc, scale_efficiency, scale_lint, scale_loc
 from scorelab.functions.text import NONBLANK, logical_lines, split_lines
 
 # Decision keywords counted by the lexical complexity (McCabe-style).
@@ -77,19 +77,25 @@ DEFAULT_RULES = [
 ]
 
 
-def rule_penalty(code, rules=None) -> Column:
-    """Sum over rules of weight x number of lines matching the rule."""
+def rule_counts(code, rules=None) -> Column:
+    """struct(penalty, n_lines): sum over lines of the weights of the rules each line
+    matches, and the number of logical (non-blank) lines; one pass over the lines."""
     rules = DEFAULT_RULES if rules is None else rules
-    lines = split_lines(code)
+    init = F.struct(F.lit(0.0).alias("penalty"), F.lit(0).alias("n_lines"))
+
+    def step(acc, line):
+        pen = acc["penalty"]
+        for _, rx, w in rules:
+            pen = pen + F.when(F.regexp_like(line, F.lit(rx)), F.lit(float(w))).otherwise(F.lit(0.0))
+        nb = acc["n_lines"] + F.when(F.regexp_like(line, F.lit(NONBLANK)), F.lit(1)).otherwise(F.lit(0))
+        return F.struct(pen.alias("penalty"), nb.alias("n_lines"))
 
-    def matches(rx):
-        # one-argument lambda: a second parameter would be bound to the element index
-        return lambda line: F.regexp_like(line, F.lit(rx))
+    return F.aggregate(split_lines(code), init, step)
 
-    total = F.lit(0.0)
-    for _, rx, w in rules:
-        total = total + F.lit(float(w)) * F.size(F.filter(lines, matches(rx)))
-    return total
+
+def rule_penalty(code, rules=None) -> Column:
+    """Sum over rules of weight x number of lines matching the rule."""
+    return rule_counts(code, rules)["penalty"]
 
 
 def rule_score(code, rules=None, syntax_ok=None) -> Column:
@@ -97,10 +103,12 @@ def rule_score(code, rules=None, syntax_ok=None) -> Column:
 
     No logical line (score undefined) or a score of exactly 0 -> 0.05; a known
     syntax error (``syntax_ok`` false) -> 0.0."""
-    n = logical_lines(code)
-    raw = F.lit(10.0) - F.lit(10.0) * rule_penalty(code, rules) / F.nullif(n, F.lit(0)).cast("double")
-    floored = F.when(raw.isNull() | (raw == F.lit(0.0)), F.lit(0.05)).otherwise(raw)
-    out = F.when(_col(code).isNotNull(), floored)
+
+    def score(rc):
+        raw = F.lit(10.0) - F.lit(10.0) * rc["penalty"] / F.nullif(rc["n_lines"], F.lit(0)).cast("double")
+        return F.when(raw.isNull() | (raw == F.lit(0.0)), F.lit(0.05)).otherwise(raw)
+
+    out = F.when(_col(code).isNotNull(), let(rule_counts(code, rules), score))
     if syntax_ok is not None:
         out = F.when(_col(syntax_ok) == F.lit(False), F.lit(0.0)).otherwise(out)
     return out
@@ -156,15 +164,20 @@ def evaluate(samples: DataFrame, verdicts: DataFrame | None = None, runs: DataFr
     else:
         df = df.withColumn("efficiency_score", F.lit(None).cast("double"))
     c = F.coalesce(F.col(code), F.lit(""))
-    cc = decision_points(c, words, block_marker)
+    df = df.select(
+        *keys, "passed", "efficiency_score",
+        decision_points(c, words, block_marker).alias("_cc"),
+        rule_score(c, rules).alias("_style"),
+        logical_lines(c).alias("_loc"),
+    )
     df = df.select(
         *keys,
         "passed",
-        scale_cc(cc["avg_cc"]).alias("avg_cyclomatic_complexity"),
-        scale_cc(cc["max_cc"]).alias("max_cyclomatic_complexity"),
-        scale_lint(rule_score(c, rules)).alias("style_score"),
+        scale_cc(F.col("_cc.avg_cc")).alias("avg_cyclomatic_complexity"),
+        scale_cc(F.col("_cc.max_cc")).alias("max_cyclomatic_complexity"),
+        scale_lint("_style").alias("style_score"),
         "efficiency_score",
-        scale_loc(logical_lines(c)).alias("loc_score"),
+        scale_loc("_loc").alias("loc_score"),
         gate("passed").alias("functional_correctness"),
     )
     return df.withColumn(

@@ -48,14 +48,17 @@ def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAUL
     """Add ``_before`` (rows of the group with a smaller value) and ``_n`` (group size)
     to a ``value_counts`` table."""
     ks = _keys(keys)
-    fracs = [i / buckets for i in range(1, buckets)]
-    per_group = counts.groupBy(*ks).agg(
-        F.sum("_cnt").alias("_n"),
-        F.percentile_approx(value, F.array(*[F.lit(f) for f in fracs]), accuracy).alias("_splits"),
-    )
+    fracs = [i / buckets for i in range(1, max(buckets, 1))]
+    aggs = [F.sum("_cnt").alias("_n")]
+    if fracs:
+        aggs.append(F.percentile_approx(value, F.array(*[F.lit(f) for f in fracs]), accuracy).alias("_splits"))
+    per_group = counts.groupBy(*ks).agg(*aggs)
     # one row per group; a global order (no keys) joins a single-row aggregate
     c = counts.join(per_group, ks, "inner") if ks else counts.crossJoin(F.broadcast(per_group))
-    c = c.withColumn("_b", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+    if fracs:
+        c = c.withColumn("_b", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
+    else:
+        c = c.withColumn("_b", F.lit(0))
     w_in = Window.partitionBy(*ks, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("_in", F.coalesce(F.sum("_cnt").over(w_in), F.lit(0)))
     tot = c.groupBy(*ks, "_b").agg(F.sum("_cnt").alias("_bt"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorelab.functions import text as TX
-from scorelab.functions.scale import display_label, safe_name
+from scorelab.functions.scale import display_label, safe_name, scale_lint
 from scorelab.operators import chunks as CH
 from scorelab.operators import metrics as M
 from scorelab.operators import prompts as P
@@ -48,9 +48,8 @@ def duck_loc(x: str) -> str:
 def json_extract(spark, sf_dir):
     """First balanced JSON object of a chatty answer, its code field, cleaned."""
     x = R.wrapped_answers(spark, sf_dir)
-    r = x.select("doc_id", TX.extract_strict(F.col("raw")).alias("r"))
-    return r.select("doc_id", F.md5("r.code").alias("code_md5"), F.length("r.code").alias("code_len"),
-                    F.col("r.error").alias("error"))
+    r = x.select("doc_id", TX.extract_strict(F.col("raw")).alias("r")).select("doc_id", "r.code", "r.error")
+    return r.select("doc_id", F.md5("code").alias("code_md5"), F.length("code").alias("code_len"), "error")
 
 
 @register("json_lenient", f"""SELECT doc_id, md5({duck_clean('text')}) AS code_md5 FROM documents""")
@@ -74,18 +73,16 @@ def json_fallback(spark, sf_dir):
        CAST(length({duck_clean('text')}) AS INTEGER) AS clean_len FROM documents""")
 def clean_text(spark, sf_dir):
     """T6 on documents (blank runs, trailing blanks, strip, tokens)."""
-    d = R.table(spark, sf_dir, "documents")
-    c = TX.clean_code(F.col("text"))
-    return d.select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).alias("clean_len"))
+    d = R.table(spark, sf_dir, "documents").select("doc_id", TX.clean_code(F.col("text")).alias("c"))
+    return d.select("doc_id", F.md5("c").alias("clean_md5"), F.length("c").alias("clean_len"))
 
 
 @register("clean_pages", f"""SELECT page_id, md5({duck_clean('html')}) AS clean_md5,
        CAST(length({duck_clean('html')}) AS INTEGER) AS clean_len FROM pages""")
 def clean_pages(spark, sf_dir):
     """T6 on raw web pages: tag-like spans removed."""
-    g = R.table(spark, sf_dir, "pages")
-    c = TX.clean_code(F.col("html"))
-    return g.select("page_id", F.md5(c).alias("clean_md5"), F.length(c).alias("clean_len"))
+    g = R.table(spark, sf_dir, "pages").select("page_id", TX.clean_code(F.col("html")).alias("c"))
+    return g.select("page_id", F.md5("c").alias("clean_md5"), F.length("c").alias("clean_len"))
 
 
 @register("loc_count", f"SELECT doc_id, {duck_loc('text')} AS loc FROM documents")
@@ -131,9 +128,8 @@ cc AS (SELECT d.doc_id, CAST(coalesce(avg(cc), 0) AS DOUBLE) AS avg_cc, CAST(coa
 def decision_points(spark, sf_dir):
     """M1 + M5: lexical block complexity (avg and max over blocks) per document."""
     d = R.table(spark, sf_dir, "documents")
-    cc = M.decision_points(F.col("text"), PROSE_WORDS, PROSE_MARKER)
-    return rounded(d.select("doc_id", cc["avg_cc"].alias("avg_cc"), cc["max_cc"].alias("max_cc"),
-                            cc["n_blocks"].cast("bigint").alias("n_blocks")))
+    cc = d.select("doc_id", M.decision_points(F.col("text"), PROSE_WORDS, PROSE_MARKER).alias("cc"))
+    return rounded(cc.select("doc_id", "cc.avg_cc", "cc.max_cc", F.col("cc.n_blocks").cast("bigint").alias("n_blocks")))
 
 
 def _duck_rules() -> str:
@@ -154,11 +150,8 @@ rs AS (SELECT doc_id, penalty, n_lines,
 SELECT doc_id, round(raw_score, 6) AS raw_score, round(least(raw_score / 10.0, 1.0), 6) AS style_score FROM rs""")
 def rule_score(spark, sf_dir):
     """M2: rule-based style score per document (lint-score shape, floors kept)."""
-    d = R.table(spark, sf_dir, "documents")
-    raw = M.rule_score(F.col("text"))
-    from scorelab.functions.scale import scale_lint
-
-    return rounded(d.select("doc_id", raw.alias("raw_score"), scale_lint(raw).alias("style_score")))
+    d = R.table(spark, sf_dir, "documents").select("doc_id", M.rule_score(F.col("text")).alias("raw_score"))
+    return rounded(d.select("doc_id", "raw_score", scale_lint("raw_score").alias("style_score")))
 
 
 @register("mean_runtime", f"""SELECT model, task_id, count(*) AS n_attempts, round(avg(seconds), 6) AS mean_seconds,
