@@ -13,34 +13,48 @@ def poe_quality(*experts, zero_policy: str = "drop") -> Column:
 
     zero_policy="drop" (default): NULL counts as 0, experts <= 0 are left out and
     the root is 1/n over the experts kept; none kept -> 0.
-    zero_policy="zero": NULL counts as 0 and any zero expert makes the product 0
-    (root over all experts).
+    zero_policy="zero": NULL and negative count as 0, so any such expert makes the
+    product 0 (root over all experts).
+
+    The expert list is known when the plan is built, so the product and the count
+    are unrolled into plain arithmetic (whole-stage codegen, no arrays). Skipped
+    experts multiply by exactly 1.0, so the result equals a left-to-right fold over
+    the kept experts.
     """
-    cols = [_col(e).cast("double") for e in experts]
-    arr = F.array(*[F.coalesce(c, F.lit(0.0)) for c in cols])
+    xs = [F.coalesce(_col(e).cast("double"), F.lit(0.0)) for e in experts]
     if zero_policy == "drop":
-        kept = F.filter(arr, lambda x: x > F.lit(0.0))
+        kept = [F.when(x > F.lit(0.0), x).otherwise(F.lit(1.0)) for x in xs]
+        flags = [F.when(x > F.lit(0.0), F.lit(1)).otherwise(F.lit(0)) for x in xs]
     elif zero_policy == "zero":
-        kept = F.transform(arr, lambda x: F.greatest(x, F.lit(0.0)))
+        kept = [F.greatest(x, F.lit(0.0)) for x in xs]
+        flags = [F.lit(1) for _ in xs]
     else:
         raise ValueError(f"unknown zero_policy {zero_policy!r}")
-    prod = F.aggregate(kept, F.lit(1.0), lambda a, x: a * x)
-    n = F.size(kept)
+    prod = F.lit(1.0)
+    for k in kept:
+        prod = prod * k
+    n = F.lit(0)
+    for f in flags:
+        n = n + f
     root = F.pow(prod, F.lit(1.0) / F.nullif(n, F.lit(0)).cast("double"))
     return F.coalesce(root, F.lit(0.0))
 
 
 def weighted_poe(experts, weights, zero_policy: str = "drop") -> Column:
     """(prod x_i^w_i)^(1/sum w_i) over the kept experts; weights default to 1."""
-    xs = F.array(*[F.coalesce(_col(e).cast("double"), F.lit(0.0)) for e in experts])
-    ws = F.array(*[F.lit(float(w)) if not isinstance(w, Column) else w.cast("double") for w in weights])
-    pairs = F.arrays_zip(xs.alias("x"), ws.alias("w"))
-    if zero_policy == "drop":
-        pairs = F.filter(pairs, lambda p: p["x"] > F.lit(0.0))
-    elif zero_policy != "zero":
+    xs = [F.coalesce(_col(e).cast("double"), F.lit(0.0)) for e in experts]
+    ws = [F.lit(float(w)) if not isinstance(w, Column) else w.cast("double") for w in weights]
+    if zero_policy not in ("drop", "zero"):
         raise ValueError(f"unknown zero_policy {zero_policy!r}")
-    prod = F.aggregate(pairs, F.lit(1.0), lambda a, p: a * F.pow(p["x"], p["w"]))
-    wsum = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["w"])
+    prod, wsum = F.lit(1.0), F.lit(0.0)
+    for x, w in zip(xs, ws):
+        if zero_policy == "drop":
+            keep = x > F.lit(0.0)
+            prod = prod * F.when(keep, F.pow(x, w)).otherwise(F.lit(1.0))
+            wsum = wsum + F.when(keep, w).otherwise(F.lit(0.0))
+        else:
+            prod = prod * F.pow(F.greatest(x, F.lit(0.0)), w)
+            wsum = wsum + w
     return F.coalesce(F.pow(prod, F.lit(1.0) / F.nullif(wsum, F.lit(0.0))), F.lit(0.0))
 
 

@@ -31,15 +31,17 @@ def _keys(keys):
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def value_counts(df: DataFrame, keys, value: str) -> DataFrame:
-    """Distinct (keys, value) with their multiplicity ``_cnt``; NULL/NaN values dropped."""
+def value_counts(df: DataFrame, keys, value: str, weight: str | None = None) -> DataFrame:
+    """Distinct (keys, value) with their multiplicity ``_cnt`` (sum of ``weight`` when the
+    input is already pre-aggregated); NULL/NaN values dropped."""
     ks = _keys(keys)
     v = nan_to_null(F.col(value)).cast("double")
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     return (
-        df.select(*ks, v.alias(value))
+        df.select(*ks, v.alias(value), w.alias("_w"))
         .where(F.col(value).isNotNull())
         .groupBy(*ks, value)
-        .agg(F.count(F.lit(1)).alias("_cnt"))
+        .agg(F.sum("_w").alias("_cnt"))
     )
 
 
@@ -51,7 +53,7 @@ def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAUL
     fracs = [i / buckets for i in range(1, max(buckets, 1))]
     aggs = [F.sum("_cnt").alias("_n")]
     if fracs:
-        aggs.append(F.percentile_approx(value, F.array(*[F.lit(f) for f in fracs]), accuracy).alias("_splits"))
+        aggs.append(F.percentile_approx(value, F.lit(fracs), accuracy).alias("_splits"))
     per_group = counts.groupBy(*ks).agg(*aggs)
     # one row per group; a global order (no keys) joins a single-row aggregate
     c = counts.join(per_group, ks, "inner") if ks else counts.crossJoin(F.broadcast(per_group))
@@ -68,7 +70,8 @@ def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAUL
     return c.withColumn("_before", (F.col("_off") + F.col("_in")).cast("bigint")).drop("_off", "_in", "_b")
 
 
-def window_ranks(df: DataFrame, keys, value: str, descending: bool = True, places: int | None = 12) -> DataFrame:
+def window_ranks(df: DataFrame, keys, value: str, descending: bool = True, places: int | None = 12,
+                 weight: str | None = None) -> DataFrame:
     """Average ranks with one window per group. Only for inputs whose groups are bounded
     by construction (e.g. one row per model after ``groupBy(model)``): each group is
     sorted inside one task."""
@@ -76,8 +79,8 @@ def window_ranks(df: DataFrame, keys, value: str, descending: bool = True, place
     v = nan_to_null(F.col(value)).cast("double")
     if places is not None:
         v = F.round(v, places)
-    src = df.select(*ks, v.alias(value)).where(F.col(value).isNotNull())
-    c = src.groupBy(*ks, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    src = df.select(*ks, v.alias(value), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
+    c = src.where(F.col(value).isNotNull()).groupBy(*ks, value).agg(F.sum("_w").alias("_cnt"))
     o = F.col(value).desc() if descending else F.col(value).asc()
     w = Window.partitionBy(*ks).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("_ahead", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
@@ -86,7 +89,8 @@ def window_ranks(df: DataFrame, keys, value: str, descending: bool = True, place
 
 
 def average_ranks(df: DataFrame, keys, value: str, descending: bool = True, places: int | None = 12,
-                  buckets: int = DEFAULT_BUCKETS, bounded_groups: bool = False) -> DataFrame:
+                  buckets: int = DEFAULT_BUCKETS, bounded_groups: bool = False,
+                  weight: str | None = None) -> DataFrame:
     """Average rank (ties share the mean of their positions, 1-based) of every distinct
     value within its group: columns keys..., value, rank, _cnt, _n.
 
@@ -94,12 +98,12 @@ def average_ranks(df: DataFrame, keys, value: str, descending: bool = True, plac
     NULL/NaN get no rank.
     """
     if bounded_groups:
-        return window_ranks(df, keys, value, descending, places)
+        return window_ranks(df, keys, value, descending, places, weight)
     ks = _keys(keys)
     src = df
     if places is not None:
         src = df.withColumn(value, F.round(nan_to_null(F.col(value)).cast("double"), places))
-    c = cumulative_counts(value_counts(src, ks, value), ks, value, buckets)
+    c = cumulative_counts(value_counts(src, ks, value, weight), ks, value, buckets)
     asc = F.col("_before") + (F.col("_cnt") + F.lit(1)) / F.lit(2.0)
     desc = F.col("_n") - F.col("_before") - (F.col("_cnt") - F.lit(1)) / F.lit(2.0)
     return c.withColumn("rank", (desc if descending else asc).cast("double"))

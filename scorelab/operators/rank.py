@@ -54,17 +54,33 @@ def _pearson(df: DataFrame, keys, x: str, y: str) -> DataFrame:
 
 
 def ranked_pairs(pairs: DataFrame, descending: bool = True, bounded_groups: bool = False) -> DataFrame:
-    """W1 inside each (metric_a, metric_b) pair: average ranks of a and of b.
+    """W1 inside each (metric_a, metric_b) pair on the distinct (a, b) combinations.
 
-    ``bounded_groups``: the input has a bounded number of rows per pair (per-model
-    means), so a window per pair is used; otherwise the distributed ranking."""
+    Pair rows are first reduced to distinct (pair, a, b) with a count ``_w`` (partial
+    aggregation: repeated value combinations collapse map-side), then both columns
+    get average ranks over the pair's rows and the ranks are joined onto that
+    distinct table. ``bounded_groups``: the input holds a bounded number of rows per
+    pair (per-model means), so a window per pair is used for the ranks."""
     keys = ["pos_a", "metric_a", "pos_b", "metric_b"]
-    ra = average_ranks(pairs, keys, "a", descending, 12, bounded_groups=bounded_groups).select(
-        *keys, "a", F.col("rank").alias("rank_a"))
-    rb = average_ranks(pairs, keys, "b", descending, 12, bounded_groups=bounded_groups).select(
+    jd = (pairs.select(*keys, F.round("a", 12).alias("a"), F.round("b", 12).alias("b"))
+          .groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("_w")))
+    ra = average_ranks(jd, keys, "a", descending, None, bounded_groups=bounded_groups, weight="_w").select(
+        *keys, "a", F.col("rank").alias("rank_a"), "_n")
+    rb = average_ranks(jd, keys, "b", descending, None, bounded_groups=bounded_groups, weight="_w").select(
         *keys, "b", F.col("rank").alias("rank_b"))
-    base = pairs.withColumn("a", F.round("a", 12)).withColumn("b", F.round("b", 12))
-    return base.join(ra, keys + ["a"], "inner").join(rb, keys + ["b"], "inner")
+    return jd.join(ra, keys + ["a"], "inner").join(rb, keys + ["b"], "inner")
+
+
+def _rank_pearson(r: DataFrame, keys) -> DataFrame:
+    """Count-weighted Pearson of average ranks. Average ranks of n rows have mean
+    (n+1)/2 exactly, so the sums are centred with it (no cancellation)."""
+    mu = (F.col("_n").cast("double") + F.lit(1.0)) / F.lit(2.0)
+    da, db, w = F.col("rank_a") - mu, F.col("rank_b") - mu, F.col("_w").cast("double")
+    g = r.groupBy(*keys).agg(
+        F.sum(w * da * db).alias("_sxy"), F.sum(w * da * da).alias("_sxx"), F.sum(w * db * db).alias("_syy"),
+        F.sum("_w").alias("n"))
+    rho = F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy")))
+    return g.select(*keys, F.when((F.col("_sxx") > 0) & (F.col("_syy") > 0), rho).alias("rho"), "n")
 
 
 def spearman_long(df: DataFrame, metrics=None, lower: bool = True, against: str | None = None,
@@ -74,8 +90,7 @@ def spearman_long(df: DataFrame, metrics=None, lower: bool = True, against: str
     (e.g. per-model means or per-sample rows)."""
     metrics = METRICS if metrics is None else metrics
     keys = ["pos_a", "metric_a", "pos_b", "metric_b"]
-    r = _pearson(ranked_pairs(metric_pairs(df, metrics, lower, against), bounded_groups=bounded_groups),
-                 keys, "rank_a", "rank_b")
+    r = _rank_pearson(ranked_pairs(metric_pairs(df, metrics, lower, against), bounded_groups=bounded_groups), keys)
     return r.withColumn("p", t_test_pvalue(F.col("rho"), F.col("n")))
 
 
@@ -131,20 +146,10 @@ def rank_concordance(means: DataFrame, metrics=None, overall: str = "overall_sco
 
 
 def pearson_matrix(df: DataFrame, metrics=None) -> DataFrame:
-    """Pearson correlation per metric pair over all rows, pairwise complete, in
-    one aggregate (partial aggregation, no join); long form, lower triangle."""
+    """Pearson correlation per metric pair over all rows, pairwise complete; long
+    form, lower triangle. Each row emits its (fixed, metric-list-sized) pairs and a
+    small aggregate reduces them map-side; one aggregate with a correlation per pair
+    instead would compile into a method too large to JIT."""
     metrics = METRICS if metrics is None else metrics
-    cols = available(df.columns, metrics)
-    v = {c: nan_to_null(F.col(c)).cast("double") for c in cols}
-    aggs, names = [], []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols[: i + 1]):
-            both = v[a].isNotNull() & v[b].isNotNull()
-            xa, xb = F.when(both, v[a]), F.when(both, v[b])
-            rho = F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))
-            aggs.append(F.struct(F.lit(i).alias("pos_a"), F.lit(a).alias("metric_a"), F.lit(j).alias("pos_b"),
-                                 F.lit(b).alias("metric_b"), rho.alias("rho"),
-                                 F.count(xa).alias("n")).alias(f"p{i}_{j}"))
-            names.append(f"p{i}_{j}")
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(n) for n in names])).alias("s")).select("s.*")
+    keys = ["pos_a", "metric_a", "pos_b", "metric_b"]
+    return _pearson(metric_pairs(df, metrics), keys, "a", "b")

@@ -11,6 +11,7 @@ _MODULES = [
     "scorelab.plans.analytics_queries",
     "scorelab.plans.text_queries",
     "scorelab.plans.stream_queries",
+    "scorelab.plans.io_queries",
 ]
 
 

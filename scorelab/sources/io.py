@@ -45,14 +45,19 @@ def read_problems(spark: SparkSession, path: str, partitions: int | None = None)
     return df.repartition(partitions, "task_id") if partitions else df
 
 
-def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
+def read_summaries(spark: SparkSession, pattern: str, model_from: str = "file") -> DataFrame:
     """S3 + U1: all summary CSVs of a glob in one scan; model = stem with ``_summary`` removed.
 
+    ``model_from="partition"``: ``pattern`` is a folder written by ``write_summary_csv``
+    and the model comes from its ``model=...`` sub-folders (partition discovery).
     Malformed cells become NULL (permissive parse); unreadable files are skipped;
     no match gives an empty table."""
+    schema = SUMMARY_SCHEMA
+    if model_from == "partition":
+        schema = T.StructType(SUMMARY_SCHEMA.fields + [T.StructField("model", T.StringType())])
     try:
         df = (
-            spark.read.schema(SUMMARY_SCHEMA)
+            spark.read.schema(schema)
             .option("header", True)
             .option("mode", "PERMISSIVE")
             .option("ignoreCorruptFiles", True)
@@ -60,10 +65,20 @@ def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
         )
     except AnalysisException:
         return _empty(spark, SUMMARY_SCHEMA, ["model"])
+    if model_from == "partition":
+        return df.select(*SUMMARY_SCHEMA.fieldNames(), "model")
     model = F.replace(_stem(_file_name()), F.lit("_summary"), F.lit(""))
     return df.select(*SUMMARY_SCHEMA.fieldNames(), model.alias("model"))
 
 
+def read_results(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Scored result JSONL (samples + passed + metric columns, nulls written)."""
+    from scorelab.schemas import RESULT_SCHEMA
+
+    sch = schema or T.StructType([T.StructField("model", T.StringType())] + RESULT_SCHEMA.fields)
+    return spark.read.schema(sch).json(path)
+
+
 def read_raw_answers(spark: SparkSession, path: str) -> DataFrame:
     """One row per file with its whole text."""
     df = spark.read.text(path, wholetext=True)
