@@ -6,14 +6,15 @@ would put a whole group into one task. Instead:
 
 1. pre-aggregate to distinct ``(group, value, count)`` (partial aggregation, so a
    repeated value such as a score of 0 becomes one row per map task);
-2. cut every group into ``buckets`` value ranges with approximate split points
-   (``percentile_approx`` is a mergeable sketch of bounded size);
+2. cut every group into ``buckets`` value ranges at split points taken from a
+   hash-selected sample of its distinct values (bounded size, and a pure function of
+   the data, unlike an order-sensitive sketch);
 3. running sums inside ``(group, bucket)`` ranges (a window over ~1/buckets of
    the group's distinct values) plus bucket offsets from a table of at most
    groups x buckets rows.
 
-Bucket ids are a pure function of the value, so a lost task recomputes the same
-answer; no step needs a checkpoint or row ids.
+Split points and bucket ids are pure functions of the data, so a lost task or a
+recomputed branch gets the same answer; no step needs a checkpoint or row ids.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from scorelab.functions.scale import nan_to_null
 
 DEFAULT_BUCKETS = 256
-DEFAULT_ACCURACY = 100000
+SAMPLE_PER_BUCKET = 16
 
 
 def _keys(keys):
@@ -45,22 +46,40 @@ def value_counts(df: DataFrame, keys, value: str, weight: str | None = None) ->
     )
 
 
-def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAULT_BUCKETS,
-                      accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def split_points(counts: DataFrame, keys, value: str, buckets: int = DEFAULT_BUCKETS,
+                 per_bucket: int = SAMPLE_PER_BUCKET) -> DataFrame:
+    """Per group: ``_n`` (rows), ``_d`` (distinct values) and ``_splits``, ``buckets - 1``
+    ascending split points taken from a sample of the distinct values.
+
+    The sample keeps a value when a hash of the value falls below
+    ``per_bucket * buckets / _d``, so it is a deterministic, order-independent
+    function of the data (a retried task or a recomputed branch gets the same
+    splits) and holds about ``per_bucket * buckets`` values per group."""
+    ks = _keys(keys)
+    stats = counts.groupBy(*ks).agg(F.sum("_cnt").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    if buckets <= 1:
+        return stats.withColumn("_splits", F.lit(None).cast("array<double>"))
+    j = counts.join(stats, ks, "inner") if ks else counts.crossJoin(F.broadcast(stats))
+    u = F.xxhash64(F.col(value)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double") / F.lit(float(2 ** 63))
+    keep = u < F.lit(float(per_bucket * buckets)) / F.col("_d").cast("double")
+    samp = j.where(keep).groupBy(*ks).agg(F.array_sort(F.collect_list(value)).alias("_s"))
+    picks = F.transform(
+        F.sequence(F.lit(1), F.lit(buckets - 1)),
+        lambda i: F.element_at("_s", F.ceil(i * F.size("_s") / F.lit(buckets)).cast("int")),
+    )
+    samp = samp.select(*ks, F.when(F.size("_s") > 0, picks).alias("_splits"))
+    return stats.join(samp, ks, "left") if ks else stats.crossJoin(samp)
+
+
+def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Add ``_before`` (rows of the group with a smaller value) and ``_n`` (group size)
     to a ``value_counts`` table."""
     ks = _keys(keys)
-    fracs = [i / buckets for i in range(1, max(buckets, 1))]
-    aggs = [F.sum("_cnt").alias("_n")]
-    if fracs:
-        aggs.append(F.percentile_approx(value, F.lit(fracs), accuracy).alias("_splits"))
-    per_group = counts.groupBy(*ks).agg(*aggs)
+    per_group = split_points(counts, ks, value, buckets).drop("_d")
     # one row per group; a global order (no keys) joins a single-row aggregate
     c = counts.join(per_group, ks, "inner") if ks else counts.crossJoin(F.broadcast(per_group))
-    if fracs:
-        c = c.withColumn("_b", F.size(F.filter("_splits", lambda s: s < F.col(value)))).drop("_splits")
-    else:
-        c = c.withColumn("_b", F.lit(0))
+    bucket = F.coalesce(F.size(F.filter("_splits", lambda s: s < F.col(value))), F.lit(0))
+    c = c.withColumn("_b", F.greatest(bucket, F.lit(0))).drop("_splits")
     w_in = Window.partitionBy(*ks, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("_in", F.coalesce(F.sum("_cnt").over(w_in), F.lit(0)))
     tot = c.groupBy(*ks, "_b").agg(F.sum("_cnt").alias("_bt"))
