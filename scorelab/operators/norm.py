@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelab.functions.scale import delta_sign, nan_to_null
@@ -14,23 +14,23 @@ INVERT_MARKER = "cyclomatic_complexity"
 INVERT_EXTRA = ["loc_score"]
 
 
-def _extremes(df: DataFrame, cols) -> DataFrame:
-    """A single-row aggregate of min/max per column (broadcast: one row by construction)."""
-    return df.agg(*[F.min(c).alias(f"_mn_{c}") for c in cols], *[F.max(c).alias(f"_mx_{c}") for c in cols])
-
-
 def minmax_norm(means: DataFrame, cols=None, by: str = "model", constant: float | None = None,
-                invert=()) -> DataFrame:
+                invert=(), carry=()) -> DataFrame:
     """(x - min)/(max - min) per column over the model rows.
 
     constant=None: a constant column gives x - min (= 0), the delta view;
     constant=0.5: a constant column gives 0.5, the heatmap view.
     ``invert``: columns mapped as (max - x)/(max - min).
+
+    ``means`` holds one row per model (the output of a ``groupBy(model)``), so the
+    extremes come from a window over all of its rows: one chain, no join and no
+    second computation of the means.
     """
     cols = cols or [c for c in means.columns if c != by and c != "n"]
-    ex = _extremes(means, cols)
-    j = means.select(by, *cols).crossJoin(F.broadcast(ex))
-    out = [F.col(by)]
+    every = Window.partitionBy()
+    j = means.select(by, *carry, *cols, *[F.min(c).over(every).alias(f"_mn_{c}") for c in cols],
+                     *[F.max(c).over(every).alias(f"_mx_{c}") for c in cols])
+    out = [F.col(by), *[F.col(c) for c in carry]]
     for c in cols:
         x, mn, mx = F.col(c), F.col(f"_mn_{c}"), F.col(f"_mx_{c}")
         num = (mx - x) if c in invert else (x - mn)
@@ -53,9 +53,9 @@ def heatmap_norm(means: DataFrame, metrics=None, by: str = "model", invert=None)
     cols = heatmap_columns(means.columns, metrics)
     if invert is None:
         invert = [c for c in cols if INVERT_MARKER in c.lower() or c in INVERT_EXTRA]
-    norm = minmax_norm(means, cols, by, constant=0.5, invert=invert)
-    order = means.select(by, F.col("overall_score").alias("_raw_overall"))
-    return norm.join(order, by).orderBy(F.col("_raw_overall").desc(), F.col(by)).drop("_raw_overall")
+    src = means.withColumn("_raw_overall", F.col("overall_score"))
+    norm = minmax_norm(src, cols, by, constant=0.5, invert=invert, carry=["_raw_overall"])
+    return norm.orderBy(F.col("_raw_overall").desc(), F.col(by)).drop("_raw_overall")
 
 
 def delta_table(means: DataFrame, metrics=None, by: str = "model") -> DataFrame:

@@ -9,7 +9,7 @@ under ANSI).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelab.functions.scale import nan_to_null
@@ -64,6 +64,8 @@ def ranked_pairs(pairs: DataFrame, descending: bool = True, bounded_groups: bool
     keys = ["pos_a", "metric_a", "pos_b", "metric_b"]
     jd = (pairs.select(*keys, F.round("a", 12).alias("a"), F.round("b", 12).alias("b"))
           .groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("_w")))
+    if bounded_groups:
+        return _window_ranked(jd, keys, descending)
     ra = average_ranks(jd, keys, "a", descending, None, bounded_groups=bounded_groups, weight="_w").select(
         *keys, "a", F.col("rank").alias("rank_a"), "_n")
     rb = average_ranks(jd, keys, "b", descending, None, bounded_groups=bounded_groups, weight="_w").select(
@@ -71,6 +73,19 @@ def ranked_pairs(pairs: DataFrame, descending: bool = True, bounded_groups: bool
     return jd.join(ra, keys + ["a"], "inner").join(rb, keys + ["b"], "inner")
 
 
+def _window_ranked(jd: DataFrame, keys, descending: bool) -> DataFrame:
+    """Average ranks of a and b by windows over each pair's rows (bounded groups only):
+    rows ahead = weight of strictly better values (RANGE frame takes ties together)."""
+    def ranks(col):
+        o = F.col(col).desc() if descending else F.col(col).asc()
+        upto = F.sum("_w").over(Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, 0))
+        ties = F.sum("_w").over(Window.partitionBy(*keys, col))
+        return (upto - ties + (ties + F.lit(1)) / F.lit(2.0)).cast("double")
+
+    return jd.select("*", ranks("a").alias("rank_a"), ranks("b").alias("rank_b"),
+                     F.sum("_w").over(Window.partitionBy(*keys)).alias("_n"))
+
+
 def _rank_pearson(r: DataFrame, keys) -> DataFrame:
     """Count-weighted Pearson of average ranks. Average ranks of n rows have mean
     (n+1)/2 exactly, so the sums are centred with it (no cancellation)."""
@@ -78,9 +93,12 @@ def _rank_pearson(r: DataFrame, keys) -> DataFrame:
     da, db, w = F.col("rank_a") - mu, F.col("rank_b") - mu, F.col("_w").cast("double")
     g = r.groupBy(*keys).agg(
         F.sum(w * da * db).alias("_sxy"), F.sum(w * da * da).alias("_sxx"), F.sum(w * db * db).alias("_syy"),
-        F.sum("_w").alias("n"))
+        F.sum("_w").alias("n"),
+        F.least(F.min("rank_a"), F.min("rank_b")).alias("rank_min"),
+        F.greatest(F.max("rank_a"), F.max("rank_b")).alias("rank_max"))
     rho = F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy")))
-    return g.select(*keys, F.when((F.col("_sxx") > 0) & (F.col("_syy") > 0), rho).alias("rho"), "n")
+    return g.select(*keys, F.when((F.col("_sxx") > 0) & (F.col("_syy") > 0), rho).alias("rho"), "n",
+                    "rank_min", "rank_max")
 
 
 def spearman_long(df: DataFrame, metrics=None, lower: bool = True, against: str | None = None,
@@ -132,17 +150,11 @@ def rank_table(means: DataFrame, metrics=None, unit: str = "model", overall: str
 
 
 def rank_concordance(means: DataFrame, metrics=None, overall: str = "overall_score") -> DataFrame:
-    """A16 + W2: per metric, Spearman rho/p of its ranks against the overall ranks and
-    the axis extent of both rank columns."""
+    """A16 + W2: per metric, Spearman rho/p of its model ranking against the overall
+    ranking and the axis extent of both rank columns (models with both values)."""
     metrics = METRICS if metrics is None else metrics
-    s = spearman_long(means, metrics, against=overall, bounded_groups=True).select(
-        F.col("metric_a").alias("metric"), "rho", "p", "n")
-    rt = rank_table(means, metrics, overall=overall)
-    ext = rt.where(F.col("metric_rank").isNotNull()).groupBy("metric").agg(
-        F.least(F.min("overall_rank"), F.min("metric_rank")).alias("rank_min"),
-        F.greatest(F.max("overall_rank"), F.max("metric_rank")).alias("rank_max"),
-    )
-    return s.join(ext, "metric", "left")
+    s = spearman_long(means, metrics, against=overall, bounded_groups=True)
+    return s.select(F.col("metric_a").alias("metric"), "rho", "p", "n", "rank_min", "rank_max")
 
 
 def pearson_matrix(df: DataFrame, metrics=None) -> DataFrame:
