@@ -8,58 +8,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.functions.scale import nan_to_null
-from scorelab.operators.positions import _keys, quantiles, value_counts
+from scorelab.operators.positions import _keys, cumulative_counts, quantiles, quantiles_from, value_counts
 
 
 def box_stats(df: DataFrame, keys="model", value: str = "overall_score", whis: float = 1.5) -> DataFrame:
     """N, mean, sample sd, q1/median/q3 (linear), whiskers = most extreme values
-    inside q1 - whis*IQR / q3 + whis*IQR (never inside the box), outlier count.
+    inside q1 - whis*IQR / q3 + whis*IQR, and the number of values beyond them.
 
     Works on the distinct (group, value, count) table, so repeated values cost one row.
+    The fences always enclose the data points next to q1 and q3, so the whiskers never
+    fall inside the box and "beyond a whisker" equals "beyond its fence": whiskers,
+    moments and the outlier count come from one aggregate after the quantiles.
     """
     ks = _keys(keys)
-    q = quantiles(df, ks, value, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
+    c = cumulative_counts(value_counts(df, ks, value), ks, value)
+    q = quantiles_from(c, ks, value, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumn("_lo", F.col("q1") - F.lit(whis) * iqr).withColumn("_hi", F.col("q3") + F.lit(whis) * iqr)
-    vc = value_counts(df, ks, value)
-    j = vc.join(q, ks, "inner")
-    v, c = F.col(value), F.col("_cnt")
+    j = c.select(*ks, value, "_cnt").join(q, ks, "inner")
+    v, w = F.col(value), F.col("_cnt")
+    d = v - F.col("median")  # moments around the median (shifted for stability)
     g = j.groupBy(*ks).agg(
         F.first("n").alias("n"),
         F.first("q1").alias("q1"),
         F.first("median").alias("median"),
         F.first("q3").alias("q3"),
-        (F.sum(v * c) / F.sum(c)).alias("mean"),
+        (F.sum(v * w) / F.sum(w)).alias("mean"),
         F.min(F.when(v >= F.col("_lo"), v)).alias("_wlo"),
         F.max(F.when(v <= F.col("_hi"), v)).alias("_whi"),
-        # sample variance from count-weighted moments around the median (shifted for stability)
-        F.sum(c * (v - F.col("median"))).alias("_s1"),
-        F.sum(c * (v - F.col("median")) * (v - F.col("median"))).alias("_s2"),
+        F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), w).otherwise(F.lit(0))).cast("bigint").alias("n_outliers"),
+        F.sum(w * d).alias("_s1"),
+        F.sum(w * d * d).alias("_s2"),
     )
     whislo = F.when(F.col("_wlo").isNull() | (F.col("_wlo") > F.col("q1")), F.col("q1")).otherwise(F.col("_wlo"))
     whishi = F.when(F.col("_whi").isNull() | (F.col("_whi") < F.col("q3")), F.col("q3")).otherwise(F.col("_whi"))
     nd = F.col("n").cast("double")
     var = F.try_divide(F.col("_s2") - F.col("_s1") * F.col("_s1") / nd, nd - F.lit(1.0))
-    g = g.withColumn("whislo", whislo).withColumn("whishi", whishi).withColumn(
-        "sd", F.sqrt(F.greatest(var, F.lit(0.0)))
-    )
-    out = vc.join(g.select(*ks, "whislo", "whishi"), ks, "inner")
-    n_out = out.groupBy(*ks).agg(
-        F.sum(F.when((F.col(value) < F.col("whislo")) | (F.col(value) > F.col("whishi")), F.col("_cnt")).otherwise(0))
-        .cast("bigint")
-        .alias("n_outliers")
-    )
-    return g.select(*ks, "n", "mean", "sd", "q1", "median", "q3", "whislo", "whishi").join(n_out, ks, "inner")
+    return g.select(*ks, "n", "mean", F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"), "q1", "median", "q3",
+                    whislo.alias("whislo"), whishi.alias("whishi"), "n_outliers")
 
 
 def box_outliers(df: DataFrame, keys="model", value: str = "overall_score", whis: float = 1.5,
                  carry=()) -> DataFrame:
-    """The rows outside the whiskers (keys, carried columns, value)."""
+    """The rows beyond the whiskers (keys, carried columns, value)."""
     ks = _keys(keys)
-    stats = box_stats(df, ks, value, whis).select(*ks, "whislo", "whishi")
+    q = quantiles(df, ks, value, (0.25, 0.75), ["q1", "q3"])
+    iqr = F.col("q3") - F.col("q1")
+    fences = q.select(*ks, (F.col("q1") - F.lit(whis) * iqr).alias("_lo"), (F.col("q3") + F.lit(whis) * iqr).alias("_hi"))
     rows = df.select(*ks, *carry, nan_to_null(F.col(value)).cast("double").alias(value))
-    j = rows.join(stats, ks, "inner")
-    return j.where((F.col(value) < F.col("whislo")) | (F.col(value) > F.col("whishi"))).drop("whislo", "whishi")
+    j = rows.join(fences, ks, "inner")
+    return j.where((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).drop("_lo", "_hi")
 
 
 def violin_kde(df: DataFrame, keys="model", value: str = "overall_score", points: int = 100) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelab.functions.scale import nan_to_null
+from scorelab.session import materialize
 
 DEFAULT_BUCKETS = 256
 SAMPLE_PER_BUCKET = 16
@@ -75,6 +76,7 @@ def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAUL
     """Add ``_before`` (rows of the group with a smaller value) and ``_n`` (group size)
     to a ``value_counts`` table."""
     ks = _keys(keys)
+    counts = materialize(counts)  # read by the split, bucket-total and window branches
     per_group = split_points(counts, ks, value, buckets).drop("_d")
     # one row per group; a global order (no keys) joins a single-row aggregate
     c = counts.join(per_group, ks, "inner") if ks else counts.crossJoin(F.broadcast(per_group))
@@ -128,13 +130,11 @@ def average_ranks(df: DataFrame, keys, value: str, descending: bool = True, plac
     return c.withColumn("rank", (desc if descending else asc).cast("double"))
 
 
-def quantiles(df: DataFrame, keys, value: str, qs=(0.25, 0.5, 0.75), names=None,
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Exact quantiles with linear interpolation between closest ranks
-    (numpy's default, DuckDB ``quantile_cont``): one row per group, one column per q."""
+def quantiles_from(c: DataFrame, keys, value: str, qs=(0.25, 0.5, 0.75), names=None) -> DataFrame:
+    """Exact quantiles from a ``cumulative_counts`` table (linear interpolation between
+    closest ranks, numpy's default and DuckDB ``quantile_cont``): one row per group."""
     ks = _keys(keys)
     names = names or [f"q{int(round(q * 100)):02d}" for q in qs]
-    c = cumulative_counts(value_counts(df, ks, value), ks, value, buckets)
     h = {nm: (F.col("_n") - F.lit(1)).cast("double") * F.lit(float(q)) for nm, q in zip(names, qs)}
     lo = {nm: F.floor(h[nm]) for nm in names}
     hi = {nm: F.least(lo[nm] + F.lit(1), F.col("_n") - F.lit(1)) for nm in names}
@@ -150,3 +150,11 @@ def quantiles(df: DataFrame, keys, value: str, qs=(0.25, 0.5, 0.75), names=None,
         a, b, f = F.col(f"{nm}__lo"), F.col(f"{nm}__hi"), F.col(f"{nm}__f")
         out.append((a + (b - a) * f).alias(nm))
     return g.select(*out, F.col("_n").alias("n"))
+
+
+def quantiles(df: DataFrame, keys, value: str, qs=(0.25, 0.5, 0.75), names=None,
+              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Exact quantiles per group (see ``quantiles_from``) straight from a row table."""
+    ks = _keys(keys)
+    c = cumulative_counts(value_counts(df, ks, value), ks, value, buckets)
+    return quantiles_from(c, ks, value, qs, names)

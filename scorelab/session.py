@@ -56,3 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder (stream checkpoints, sinks)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the session's checkpoint folder.
+
+    Used where a small intermediate (e.g. distinct values with counts) feeds several
+    branches of one plan: the branches differ (join-key filters are inferred on some),
+    so they cannot share an exchange and would each recompute the expensive input."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
