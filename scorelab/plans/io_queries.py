@@ -47,7 +47,8 @@ def _wide_sql() -> str:
 @register("spearman_wide", _wide_sql())
 def spearman_wide(spark, sf_dir):
     """K3 shape: the full labelled Spearman matrix, rounded to 4 places."""
-    long = rank.full_matrix(rank.spearman_long(_means(spark, sf_dir), METRICS, bounded_groups=True))
+    # all ordered pairs in one pass (mirroring a triangle with a union would compute it twice)
+    long = rank.spearman_long(_means(spark, sf_dir), METRICS, lower=False, bounded_groups=True)
     return rank.wide_matrix(long, "rho", METRICS, 4)
 
 

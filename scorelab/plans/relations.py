@@ -35,8 +35,12 @@ def spread(df: DataFrame, keys) -> DataFrame:
     slots (e.g. one large row group), so row-local work and map-side aggregation run
     in parallel. A scan that is already wide is returned unchanged: at scale this
     adds no shuffle. Hashing on the key keeps the layout deterministic on retry."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without an RDD API (Spark Connect)
+        return df
+    if current >= target:
         return df
     return df.repartition(target, *keys)
 

@@ -64,5 +64,8 @@ def materialize(df):
     Used where a small intermediate (e.g. distinct values with counts) feeds several
     branches of one plan: the branches differ (join-key filters are inferred on some),
     so they cannot share an exchange and would each recompute the expensive input."""
-    ensure_checkpoint_dir(df.sparkSession)
+    try:
+        ensure_checkpoint_dir(df.sparkSession)
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): the server owns checkpoints
+        pass
     return df.checkpoint(eager=True)
