@@ -24,11 +24,15 @@ def model_means(df: DataFrame, metrics=None, by: str = "model", overall: str = "
     """
     metrics = METRICS if metrics is None else metrics
     cols = [overall] + [m for m in available(df.columns, metrics) if m != overall]
-    clean = df.where(nan_to_null(F.col(overall)).isNotNull())
-    aggs = [F.avg(nan_to_null(F.col(c)).cast("double")).alias(c) for c in cols]
-    if with_count:
-        aggs = [F.count(F.lit(1)).alias("n")] + aggs
-    return clean.groupBy(by).agg(*aggs)
+    # F1 as conditional aggregation rather than a filter: a filter would be pushed below
+    # the projections and evaluate the score expression a second time per row. Groups
+    # whose rows all lack a score disappear, as they would after the filter.
+    base = df.select(by, *[nan_to_null(F.col(c)).cast("double").alias(c) for c in cols])
+    keep = F.col(overall).isNotNull()
+    aggs = [F.avg(F.when(keep, F.col(c))).alias(c) for c in cols]
+    aggs = [F.count_if(keep).alias("n")] + aggs
+    out = base.groupBy(by).agg(*aggs).where(F.col("n") > 0)
+    return out if with_count else out.drop("n")
 
 
 def best_first(df: DataFrame, score: str = "overall_score", by: str = "model") -> DataFrame:
