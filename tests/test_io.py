@@ -83,3 +83,16 @@ def test_prompt_table(spark):
     assert t.count() == b.count() * 2 * 3
     r = t.where("model = 'a/b:1'").first()
     assert r["safe_model"] == "a_b_1" and '{ "code": "<Python function code here>" }' in r["prompt"]
+
+
+def test_problems_gzip(spark):
+    import gzip
+
+    base = local_scratch(spark, "problems")
+    os.makedirs(base)
+    with gzip.open(os.path.join(base, "problems.jsonl.gz"), "wt") as f:
+        for i in range(5):
+            f.write(json.dumps({"task_id": f"T/{i}", "prompt": f"def f{i}():", "extra": i}) + "\n")
+    df = io.read_problems(spark, os.path.join(base, "*.jsonl.gz"), partitions=3)
+    assert df.rdd.getNumPartitions() == 3
+    assert sorted(r["task_id"] for r in df.collect()) == [f"T/{i}" for i in range(5)]
