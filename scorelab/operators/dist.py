@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.functions.scale import nan_to_null
-from scorelab.operators.positions import _keys, cumulative_counts, quantiles, quantiles_from, value_counts
+from scorelab.operators.positions import (DEFAULT_BUCKETS, _keys, cumulative_counts, quantiles, quantiles_from,
+                                          value_counts)
 
 
-def box_stats(df: DataFrame, keys="model", value: str = "overall_score", whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, keys="model", value: str = "overall_score", whis: float = 1.5,
+              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """N, mean, sample sd, q1/median/q3 (linear), whiskers = most extreme values
     inside q1 - whis*IQR / q3 + whis*IQR, and the number of values beyond them.
 
@@ -21,7 +23,7 @@ def box_stats(df: DataFrame, keys="model", value: str = "overall_score", whis: f
     moments and the outlier count come from one aggregate after the quantiles.
     """
     ks = _keys(keys)
-    c = cumulative_counts(value_counts(df, ks, value), ks, value)
+    c = cumulative_counts(value_counts(df, ks, value), ks, value, buckets)
     q = quantiles_from(c, ks, value, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumn("_lo", F.col("q1") - F.lit(whis) * iqr).withColumn("_hi", F.col("q3") + F.lit(whis) * iqr)

@@ -178,14 +178,18 @@ BOX = {  # q1, median, q3, low whisker, high whisker, outliers, sd
 }
 
 
-@pytest.mark.parametrize("buckets", [256, 3])
-def test_box_stats(summaries, buckets, monkeypatch):
-    from scorelab.operators import positions
-
-    monkeypatch.setattr(positions, "DEFAULT_BUCKETS", buckets)
-    monkeypatch.setattr(positions.quantiles, "__defaults__", ((0.25, 0.5, 0.75), None, buckets))
-    for r in dist.box_stats(summaries).collect():
+@pytest.mark.parametrize("buckets", [256, 3, 1])
+def test_box_stats(summaries, buckets):
+    for r in dist.box_stats(summaries, buckets=buckets).collect():
         q1, med, q3, lo, hi, nout, sd = BOX[r["model"]]
         assert (r["q1"], r["median"], r["q3"]) == pytest.approx((q1, med, q3), abs=1e-9)
         assert (r["whislo"], r["whishi"]) == pytest.approx((lo, hi), abs=1e-6)
         assert r["n_outliers"] == nout and r["sd"] == pytest.approx(sd, abs=1e-6)
+
+
+def test_rank_table(means):
+    got = {(r["model"], r["metric"]): (r["overall_rank"], r["metric_rank"]) for r in rank.rank_table(means).collect()}
+    assert got[("qwen2.5-coder_7b", "functional_correctness")] == (1.0, 1.0)
+    # codegemma and codellama tie on correctness: average rank 3.5
+    assert got[("codegemma_7b", "functional_correctness")][1] == 3.5
+    assert got[("codellama_7b", "functional_correctness")] == (4.0, 3.5)
