@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.functions.scale import nan_to_null
+from scorelab.session import materialize
 from scorelab.operators.positions import (DEFAULT_BUCKETS, _keys, cumulative_counts, quantiles, quantiles_from,
                                           value_counts)
 
@@ -23,11 +24,12 @@ def box_stats(df: DataFrame, keys="model", value: str = "overall_score", whis: f
     moments and the outlier count come from one aggregate after the quantiles.
     """
     ks = _keys(keys)
-    c = cumulative_counts(value_counts(df, ks, value), ks, value, buckets)
+    counts = materialize(value_counts(df, ks, value))  # quantile and whisker passes both read it
+    c = cumulative_counts(counts, ks, value, buckets, checkpoint=False)
     q = quantiles_from(c, ks, value, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumn("_lo", F.col("q1") - F.lit(whis) * iqr).withColumn("_hi", F.col("q3") + F.lit(whis) * iqr)
-    j = c.select(*ks, value, "_cnt").join(q, ks, "inner")
+    j = counts.join(q, ks, "inner")
     v, w = F.col(value), F.col("_cnt")
     d = v - F.col("median")  # moments around the median (shifted for stability)
     g = j.groupBy(*ks).agg(

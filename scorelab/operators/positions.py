@@ -88,11 +88,14 @@ def _bucket_of(splits, v, buckets: int):
     return F.when(splits.isNull(), F.lit(0)).otherwise(full * BLOCK + inside)
 
 
-def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAULT_BUCKETS,
+                      checkpoint: bool = True) -> DataFrame:
     """Add ``_before`` (rows of the group with a smaller value) and ``_n`` (group size)
-    to a ``value_counts`` table."""
+    to a ``value_counts`` table. ``checkpoint=False`` when the caller already cut the
+    lineage of ``counts`` (or of its input)."""
     ks = _keys(keys)
-    counts = materialize(counts)  # read by the split, bucket-total and window branches
+    if checkpoint:
+        counts = materialize(counts)  # read by the split, bucket-total and window branches
     per_group = split_points(counts, ks, value, buckets).drop("_d")
     # one row per group; a global order (no keys) joins a single-row aggregate
     c = counts.join(per_group, ks, "inner") if ks else counts.crossJoin(F.broadcast(per_group))
@@ -126,7 +129,7 @@ def window_ranks(df: DataFrame, keys, value: str, descending: bool = True, place
 
 def average_ranks(df: DataFrame, keys, value: str, descending: bool = True, places: int | None = 12,
                   buckets: int = DEFAULT_BUCKETS, bounded_groups: bool = False,
-                  weight: str | None = None) -> DataFrame:
+                  weight: str | None = None, checkpoint: bool = True) -> DataFrame:
     """Average rank (ties share the mean of their positions, 1-based) of every distinct
     value within its group: columns keys..., value, rank, _cnt, _n.
 
@@ -139,7 +142,7 @@ def average_ranks(df: DataFrame, keys, value: str, descending: bool = True, plac
     src = df
     if places is not None:
         src = df.withColumn(value, F.round(nan_to_null(F.col(value)).cast("double"), places))
-    c = cumulative_counts(value_counts(src, ks, value, weight), ks, value, buckets)
+    c = cumulative_counts(value_counts(src, ks, value, weight), ks, value, buckets, checkpoint)
     asc = F.col("_before") + (F.col("_cnt") + F.lit(1)) / F.lit(2.0)
     desc = F.col("_n") - F.col("_before") - (F.col("_cnt") - F.lit(1)) / F.lit(2.0)
     return c.withColumn("rank", (desc if descending else asc).cast("double"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scorelab.functions.scale import nan_to_null
 from scorelab.functions.stats import t_test_pvalue
 from scorelab.operators.positions import average_ranks
+from scorelab.session import materialize
 from scorelab.schemas import METRICS, available
 
 
@@ -66,9 +67,10 @@ def ranked_pairs(pairs: DataFrame, descending: bool = True, bounded_groups: bool
           .groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("_w")))
     if bounded_groups:
         return _window_ranked(jd, keys, descending)
-    ra = average_ranks(jd, keys, "a", descending, None, bounded_groups=bounded_groups, weight="_w").select(
+    jd = materialize(jd)  # both rank sides and the final join read it
+    ra = average_ranks(jd, keys, "a", descending, None, weight="_w", checkpoint=False).select(
         *keys, "a", F.col("rank").alias("rank_a"), "_n")
-    rb = average_ranks(jd, keys, "b", descending, None, bounded_groups=bounded_groups, weight="_w").select(
+    rb = average_ranks(jd, keys, "b", descending, None, weight="_w", checkpoint=False).select(
         *keys, "b", F.col("rank").alias("rank_b"))
     return jd.join(ra, keys + ["a"], "inner").join(rb, keys + ["b"], "inner")
 
