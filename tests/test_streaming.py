@@ -47,3 +47,24 @@ def test_chunks_out_of_order_and_duplicated(spark):
     batch = {r["request_id"]: r["response"] for r in assemble_responses(spark.read.schema(CHUNK_SCHEMA).json(src)
                                                                         .dropDuplicates(["request_id", "seq"])).collect()}
     assert batch["a"] == "abc" and batch["b"] == "xy"
+
+
+def test_chunks_timeout_emits_incomplete(spark):
+    import time
+
+    src = local_scratch(spark, "chunks-timeout")
+    os.makedirs(src)
+    with open(os.path.join(src, "part-0.json"), "w") as f:
+        for s, t in [(1, "b"), (0, "a")]:
+            f.write(json.dumps({"request_id": "z", "seq": s, "response": t, "done": False}) + "\n")
+    stream = spark.readStream.schema(CHUNK_SCHEMA).json(src)
+    q = (S.assemble_stream(stream, timeout_ms=300).writeStream.format("memory").queryName("r3_timeout")
+         .outputMode("append").trigger(processingTime="300 milliseconds").start())
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and spark.table("r3_timeout").count() == 0:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    got = [(r["request_id"], r["response"], r["n_chunks"], r["done"]) for r in spark.table("r3_timeout").collect()]
+    assert got == [("z", "ab", 2, False)]
