@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelab.functions.scale import delta_sign, nan_to_null
-from scorelab.operators.agg import unpivot_metrics
 from scorelab.schemas import METRICS, available
 
 # The heatmap inverts every cyclomatic-complexity column and the LOC score.

@@ -1,7 +1,6 @@
 """Edge tables: empty input, one model, constant column, all-null metric, NaN strings, ties."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from scorelab.operators import agg, dist, norm, rank
 from scorelab.operators.metrics import decision_points, list_avg_max, rule_score

@@ -1,7 +1,5 @@
 """Scaling, gate, product of experts, grade bands, coercion."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 

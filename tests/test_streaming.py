@@ -3,7 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from conftest import SF001, local_scratch
 from scorelab.operators.chunks import assemble_responses
