@@ -14,7 +14,9 @@ would put a whole group into one task. Instead:
    groups x buckets rows.
 
 Split points and bucket ids are pure functions of the data, so a lost task or a
-recomputed branch gets the same answer; no step needs a checkpoint or row ids.
+recomputed branch gets the same answer; correctness needs no checkpoint or row ids.
+The distinct-value table is checkpointed only so that its several branches (split
+points, range windows, range totals) do not each recompute the input.
 """
 
 from __future__ import annotations
