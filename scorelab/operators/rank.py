@@ -32,19 +32,20 @@ def metric_pairs(df: DataFrame, metrics, lower: bool = True, against: str | None
         v = nan_to_null(F.col(c)).cast("double")
         return F.round(v, places) if places is not None else v
 
-    structs = []
+    # one column object per metric and per literal, reused by every pair (fewer JVM calls)
+    vals = {c: val(c) for c in cols + ([against] if against is not None else [])}
+    pos = {i: F.lit(i) for i in range(-1, len(cols))}
+    name = {c: F.lit(c) for c in vals}
+
+    def pair(i, a, j, b):
+        return F.struct(pos[i].alias("pos_a"), name[a].alias("metric_a"), vals[a].alias("a"),
+                        pos[j].alias("pos_b"), name[b].alias("metric_b"), vals[b].alias("b"))
+
     if against is not None:
-        for i, a in enumerate(cols):
-            structs.append(F.struct(F.lit(i).alias("pos_a"), F.lit(a).alias("metric_a"), val(a).alias("a"),
-                                    F.lit(-1).alias("pos_b"), F.lit(against).alias("metric_b"),
-                                    val(against).alias("b")))
+        structs = [pair(i, a, -1, against) for i, a in enumerate(cols)]
     else:
-        for i, a in enumerate(cols):
-            for j, b in enumerate(cols):
-                if lower and j > i:
-                    continue
-                structs.append(F.struct(F.lit(i).alias("pos_a"), F.lit(a).alias("metric_a"), val(a).alias("a"),
-                                        F.lit(j).alias("pos_b"), F.lit(b).alias("metric_b"), val(b).alias("b")))
+        structs = [pair(i, a, j, b) for i, a in enumerate(cols) for j, b in enumerate(cols)
+                   if not (lower and j > i)]
     p = df.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
     return p.where(F.col("a").isNotNull() & F.col("b").isNotNull())
 
