@@ -14,19 +14,24 @@ from scorelab.operators.positions import (DEFAULT_BUCKETS, _keys, cumulative_cou
 
 
 def box_stats(df: DataFrame, keys="model", value: str = "overall_score", whis: float = 1.5,
-              buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              buckets: int = DEFAULT_BUCKETS, method: str = "exact") -> DataFrame:
     """N, mean, sample sd, q1/median/q3 (linear), whiskers = most extreme values
     inside q1 - whis*IQR / q3 + whis*IQR, and the number of values beyond them.
 
     Works on the distinct (group, value, count) table, so repeated values cost one row.
+    ``method="approx"`` takes the quartiles from a sketch in one pass.
     The fences always enclose the data points next to q1 and q3, so the whiskers never
     fall inside the box and "beyond a whisker" equals "beyond its fence": whiskers,
     moments and the outlier count come from one aggregate after the quantiles.
     """
     ks = _keys(keys)
-    counts = materialize(value_counts(df, ks, value))  # quantile and whisker passes both read it
-    c = cumulative_counts(counts, ks, value, buckets, checkpoint=False)
-    q = quantiles_from(c, ks, value, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
+    if method == "approx":  # sketch quartiles (see positions.quantiles); whiskers stay exact values
+        counts = value_counts(df, ks, value)
+        q = quantiles(df, ks, value, (0.25, 0.5, 0.75), ["q1", "median", "q3"], method="approx")
+    else:
+        counts = materialize(value_counts(df, ks, value))  # quantile and whisker passes both read it
+        c = cumulative_counts(counts, ks, value, buckets, checkpoint=False)
+        q = quantiles_from(c, ks, value, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumn("_lo", F.col("q1") - F.lit(whis) * iqr).withColumn("_hi", F.col("q3") + F.lit(whis) * iqr)
     j = counts.join(q, ks, "inner")

@@ -193,3 +193,10 @@ def test_rank_table(means):
     # codegemma and codellama tie on correctness: average rank 3.5
     assert got[("codegemma_7b", "functional_correctness")][1] == 3.5
     assert got[("codellama_7b", "functional_correctness")] == (4.0, 3.5)
+
+
+def test_box_stats_approx(summaries):
+    got = {r["model"]: r for r in dist.box_stats(summaries, method="approx").collect()}
+    assert got["qwen2.5-coder_7b"]["n"] == 164
+    assert got["qwen2.5-coder_7b"]["median"] == pytest.approx(0.633684609, abs=0.02)
+    assert got["codegemma_7b"]["q1"] == 0.0 and got["codegemma_7b"]["whislo"] == 0.0

@@ -41,3 +41,17 @@ def test_average_ranks_match_pandas(data, descending, buckets):
         assert got[(g, v)] == pytest.approx(r)
     wr = {(r["g"], r["v"]): r["rank"] for r in window_ranks(df, "g", "v", descending).collect()}
     assert wr == pytest.approx(got)
+
+
+def test_approx_quantiles_close_to_exact(data):
+    pdf, df = data
+    got = {r["g"]: r for r in quantiles(df, "g", "v", (0.25, 0.5, 0.75), method="approx").collect()}
+    part = pdf.dropna()
+    hot = part[part["g"] == "hot"]["v"].to_numpy()
+    want = np.percentile(hot, [25, 50, 75])
+    r = got["hot"]
+    # nearest-rank sketch: within the spread of neighbouring order statistics
+    assert [r["q25"], r["q50"], r["q75"]] == pytest.approx(list(want), abs=0.05)
+    assert r["n"] == len(hot)
+    with pytest.raises(ValueError):
+        quantiles(df, "g", "v", method="median-of-medians")
