@@ -93,8 +93,8 @@ def first_json_span(s) -> Column:
                      ((d == 0) & (last == "}")).alias("done"))
         )
 
-    st = F.aggregate(pieces, init, step)
-    return F.when((start > 0) & st["done"], F.substring(tail, 1, st["len"]))
+    return let(F.aggregate(pieces, init, step),
+               lambda st: F.when((start > 0) & st["done"], F.substring(tail, 1, st["len"])))
 
 
 def json_error(s) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scorelab.functions.poe import overall_score
 from scorelab.functions.scale import _col, gate, let, scale_cc, scale_efficiency, scale_lint, scale_loc
-from scorelab.functions.text import NONBLANK, logical_lines, split_lines
+from scorelab.functions.text import NONBLANK, split_lines
 
 # Decision keywords counted by the lexical complexity (McCabe-style).
 PY_DECISION_WORDS = ["if", "elif", "for", "while", "except", "with", "assert", "and", "or"]
@@ -98,17 +98,19 @@ def rule_penalty(code, rules=None) -> Column:
     return rule_counts(code, rules)["penalty"]
 
 
+def score_from_counts(rc) -> Column:
+    """Lint-score shape from struct(penalty, n_lines); undefined or exactly 0 -> 0.05."""
+    raw = F.lit(10.0) - F.lit(10.0) * rc["penalty"] / F.nullif(rc["n_lines"], F.lit(0)).cast("double")
+    return F.when(raw.isNull() | (raw == F.lit(0.0)), F.lit(0.05)).otherwise(raw)
+
+
 def rule_score(code, rules=None, syntax_ok=None) -> Column:
     """M2: 10 - 10 x penalty / logical lines, the lint-score shape.
 
     No logical line (score undefined) or a score of exactly 0 -> 0.05; a known
     syntax error (``syntax_ok`` false) -> 0.0."""
 
-    def score(rc):
-        raw = F.lit(10.0) - F.lit(10.0) * rc["penalty"] / F.nullif(rc["n_lines"], F.lit(0)).cast("double")
-        return F.when(raw.isNull() | (raw == F.lit(0.0)), F.lit(0.05)).otherwise(raw)
-
-    out = F.when(_col(code).isNotNull(), let(rule_counts(code, rules), score))
+    out = F.when(_col(code).isNotNull(), let(rule_counts(code, rules), score_from_counts))
     if syntax_ok is not None:
         out = F.when(_col(syntax_ok) == F.lit(False), F.lit(0.0)).otherwise(out)
     return out
@@ -164,20 +166,20 @@ def evaluate(samples: DataFrame, verdicts: DataFrame | None = None, runs: DataFr
     else:
         df = df.withColumn("efficiency_score", F.lit(None).cast("double"))
     c = F.coalesce(F.col(code), F.lit(""))
+    # the rule fold also counts logical lines (= LOC), so the text is split twice, not three times
     df = df.select(
         *keys, "passed", "efficiency_score",
         decision_points(c, words, block_marker).alias("_cc"),
-        rule_score(c, rules).alias("_style"),
-        logical_lines(c).alias("_loc"),
+        rule_counts(c, rules).alias("_rc"),
     )
     df = df.select(
         *keys,
         "passed",
         scale_cc(F.col("_cc.avg_cc")).alias("avg_cyclomatic_complexity"),
         scale_cc(F.col("_cc.max_cc")).alias("max_cyclomatic_complexity"),
-        scale_lint("_style").alias("style_score"),
+        scale_lint(score_from_counts(F.col("_rc"))).alias("style_score"),
         "efficiency_score",
-        scale_loc("_loc").alias("loc_score"),
+        scale_loc(F.col("_rc.n_lines")).alias("loc_score"),
         gate("passed").alias("functional_correctness"),
     )
     return df.withColumn(
