@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelab.llm import bpe
+from scorelab.llm import bpe, ngram_join
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -28,3 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+@query("op2_ngram_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
