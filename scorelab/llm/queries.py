@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, ngram_join
+from scorelab.llm import bpe, mixing, ngram_join
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,6 +31,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+@query("op1_mixing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.allocate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+                      F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_copies")).cast("bigint").alias("taken"))
+
+
 @query("op2_ngram_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
