@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, mixing, ngram_join, suffix_dedup
+from scorelab.llm import bpe, embed_dedup, mixing, ngram_join, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,3 +46,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op9_embed_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.vector_components(table(spark, sf_dir, "embeddings"))
