@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, embed_dedup, mixing, ngram_join, suffix_dedup
+from scorelab.llm import bpe, chat, embed_dedup, mixing, ngram_join, quality_rules, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,6 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def digest_chat(conversations: DataFrame) -> DataFrame:
+    """Conversations formatted, and digests of what reading the output back gives."""
+    made = chat.format_trees(chat.from_turns(conversations))
+    back = made.select("tree", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("spans")).alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(F.when(F.col("tree") != "null", F.col("tree")).cast("bigint").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"),
+                       F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("bigint").alias("loss_chars"),
+                       F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query("op4_chat")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    return digest_chat(given.unionByName(extra))
+
+
 @query("op5_suffix_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
@@ -51,3 +70,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_embed_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.vector_components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
