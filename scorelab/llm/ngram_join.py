@@ -190,8 +190,9 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = rep.join(roots, rep.c == roots.node, "left").select("c", "copies", "rep", F.coalesce("root", "c").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
     n_links = found.where("to is null").groupBy("c").agg(F.sum("links").alias("links"))
-    per_class = rooted.join(lowest, "root").join(n_links, "c", "left").select(
-        "c", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # a table of its own, so that the last join can split the rows of a class with many copies
+    per_class = written(rooted.join(lowest, "root").join(n_links, "c", "left").select(
+        "c", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "per-class")
     return sig.select("id", "c").join(per_class, "c", "left").select(
         F.col("id").alias(id_col), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
