@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, chat, embed_dedup, mixing, ngram_join, quality_rules, suffix_dedup
+from scorelab.llm import bpe, chat, embed_dedup, mixing, ngram_join, quality_rules, suffix_dedup, warc
+from scorelab.session import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -72,6 +73,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.vector_components(table(spark, sf_dir, "embeddings"))
 
 
+@query("op7_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
