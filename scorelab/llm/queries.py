@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, chat, embed_dedup, mixing, ngram_join, quality_rules, suffix_dedup, warc
+from scorelab.llm import bpe, chat, embed_dedup, line_crf, mixing, ngram_join, quality_rules, suffix_dedup, warc
 from scorelab.session import scratch_path
 
 QUERIES: dict = {}
@@ -83,3 +83,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_line_crf")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.score(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
