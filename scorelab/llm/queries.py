@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, chat, embed_dedup, line_crf, mixing, ngram_join, quality_rules, suffix_dedup, warc
+from scorelab.llm import bpe, chat, embed_dedup, line_crf, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, warc
 from scorelab.session import scratch_path
 
 QUERIES: dict = {}
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def digest_chat(conversations: DataFrame) -> DataFrame:
     """Conversations formatted, and digests of what reading the output back gives."""
     made = chat.format_trees(chat.from_turns(conversations))
