@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scorelab.functions.scale import _col
+from scorelab.functions.scale import _col, _number
 
 
 def poe_quality(*experts, zero_policy: str = "drop") -> Column:
     """Geometric mean of the experts.
 
-    zero_policy="drop" (default): NULL counts as 0, experts <= 0 are left out and
+    zero_policy="drop" (default): NULL and NaN count as 0, experts <= 0 are left out and
     the root is 1/n over the experts kept; none kept -> 0.
     zero_policy="zero": NULL and negative count as 0, so any such expert makes the
     product 0 (root over all experts).
@@ -21,7 +21,7 @@ def poe_quality(*experts, zero_policy: str = "drop") -> Column:
     experts multiply by exactly 1.0, so the result equals a left-to-right fold over
     the kept experts.
     """
-    xs = [F.coalesce(_col(e).cast("double"), F.lit(0.0)) for e in experts]
+    xs = [F.coalesce(_number(e), F.lit(0.0)) for e in experts]
     if zero_policy == "drop":
         kept = [F.when(x > F.lit(0.0), x).otherwise(F.lit(1.0)) for x in xs]
         flags = [F.when(x > F.lit(0.0), F.lit(1)).otherwise(F.lit(0)) for x in xs]
@@ -42,7 +42,7 @@ def poe_quality(*experts, zero_policy: str = "drop") -> Column:
 
 def weighted_poe(experts, weights, zero_policy: str = "drop") -> Column:
     """(prod x_i^w_i)^(1/sum w_i) over the kept experts; weights default to 1."""
-    xs = [F.coalesce(_col(e).cast("double"), F.lit(0.0)) for e in experts]
+    xs = [F.coalesce(_number(e), F.lit(0.0)) for e in experts]
     ws = [F.lit(float(w)) if not isinstance(w, Column) else w.cast("double") for w in weights]
     if zero_policy not in ("drop", "zero"):
         raise ValueError(f"unknown zero_policy {zero_policy!r}")

@@ -27,9 +27,14 @@ def nan_to_null(c) -> Column:
     return F.nullif(c, F.lit(float("nan")))
 
 
+def _number(c) -> Column:
+    """As double, NaN as NULL: a missing measurement either way."""
+    return nan_to_null(_col(c).cast("double"))
+
+
 def scale_cc(value, max_cc: float = MAX_CC) -> Column:
     """Cyclomatic complexity -> 1 - min(v/max, 1); NULL stays NULL (least() would skip it)."""
-    v = _col(value)
+    v = _number(value)
     return F.when(v.isNull(), F.lit(None).cast("double")).otherwise(
         F.lit(1.0) - F.least(v / F.lit(float(max_cc)), F.lit(1.0))
     )
@@ -37,7 +42,7 @@ def scale_cc(value, max_cc: float = MAX_CC) -> Column:
 
 def scale_lint(value, max_score: float = MAX_LINT_SCORE) -> Column:
     """Lint score 0..10 -> min(v/max, 1); no lower clamp; NULL stays NULL."""
-    v = _col(value)
+    v = _number(value)
     return F.when(v.isNull(), F.lit(None).cast("double")).otherwise(
         F.least(v / F.lit(float(max_score)), F.lit(1.0))
     )
@@ -50,8 +55,8 @@ def scale_efficiency(seconds, max_time: float = MAX_EXEC_TIME) -> Column:
 
 def scale_loc(loc, ref: float = LOC_REF) -> Column:
     """Logical lines -> max(0, 1 - min(loc/ref, 1))."""
-    v = _col(loc)
-    return F.greatest(F.lit(0.0), F.lit(1.0) - F.least(v / F.lit(float(ref)), F.lit(1.0)))
+    v = _number(loc)
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - F.least(v / F.lit(float(ref)), F.lit(1.0))))
 
 
 def gate(passed) -> Column:
@@ -59,9 +64,14 @@ def gate(passed) -> Column:
     return F.coalesce(_col(passed).cast("double"), F.lit(0.0))
 
 
+#: What counts as a number in text: no type suffixes ('1d', '2f'), which a cast would take.
+NUMBER = r"^[ \t\r\n]*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf(?:inity)?))[ \t\r\n]*$"
+
+
 def coerce_numeric(s) -> Column:
     """Text -> double, unparsable -> NULL, NaN -> NULL (ANSI-safe)."""
-    return nan_to_null(F.try_cast(_col(s), "double") if hasattr(F, "try_cast") else _col(s).try_cast("double"))
+    c = _col(s).cast("string")
+    return F.when(F.regexp_like(c, F.lit(NUMBER)), nan_to_null(c.try_cast("double")))
 
 
 # Grade bands (lower bound inclusive) and their names.
@@ -70,7 +80,7 @@ GRADE_FLOOR = "critical"
 
 
 def grade_band(score) -> Column:
-    s = _col(score)
+    s = _number(score)
     expr = None
     for lower, name in GRADE_BANDS:
         expr = F.when(s >= F.lit(lower), F.lit(name)) if expr is None else expr.when(s >= F.lit(lower), F.lit(name))

@@ -99,3 +99,17 @@ def test_display_label_and_safe_name(spark):
     df = spark.createDataFrame([("style_score",), ("my_metric",)], "x string")
     assert [r[0] for r in df.select(display_label("x")).collect()] == ["Code Style", "My Metric"]
     assert one(spark, safe_name, "org/model:7b", "x string") == "org_model_7b"
+
+
+def test_nan_is_a_missing_measurement(spark):
+    from scorelab.functions.poe import poe_quality, weighted_poe
+    from scorelab.functions.scale import coerce_numeric, grade_band, scale_cc, scale_efficiency, scale_lint, scale_loc
+
+    df = spark.createDataFrame([(float("nan"), 0.5)], "a double, b double")
+    row = df.select(grade_band("a"), scale_cc("a"), scale_lint("a"), scale_efficiency("a"), scale_loc("a")).first()
+    assert list(row) == [None] * 5
+    q = df.select(poe_quality("a", "b").alias("p"), weighted_poe(["a", "b"], [1, 1]).alias("w"), poe_quality("a", "b", zero_policy="zero").alias("z")).first()
+    assert (q.p, q.w, q.z) == (0.5, 0.5, 0.0)
+    text = [("1d", None), ("2f", None), ("NaN", None), (" 2 ", 2.0), ("1e3", 1000.0), (".5", 0.5), ("5.", 5.0), ("", None), ("0x10", None), ("-inf", float("-inf"))]
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(text)], "i int, s string")
+    assert [r[1] for r in df.select("i", coerce_numeric("s")).orderBy("i").collect()] == [v for _, v in text]

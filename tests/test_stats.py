@@ -42,3 +42,17 @@ def test_pass_at_k_operator_reports_missing_k(spark):
     assert got[1]["pass_at_k"] == pytest.approx((0.5 + 1 / 3) / 2)
     assert got[2]["pass_at_k"] == pytest.approx((1.0 + (1 - (2 / 3) * (1 / 2))) / 2)
     assert got[3]["pass_at_k"] is None and got[3]["min_n"] == 2
+
+
+# Two-sided p of a correlation, by an independent Simpson rule or, for large n, the normal tail.
+@pytest.mark.parametrize("rho,n,p", [(0.9, 100, 4.063405277490615e-37), (0.01, 1000, 0.7521238409748395), (0.0, 10**12, 1.0), (1e-5, 10**12, 1.523970604832105e-23),
+                                     (1e-4, 10**8, 0.3173105124), (0.5, 3, 2 / 3), (0.999999, 50, 1.92208574376e-138), (-0.9, 100, 4.063405277490615e-37)])
+def test_t_pvalue_for_every_n(spark, rho, n, p):
+    df = spark.createDataFrame([(rho, n)], "rho double, n long")
+    assert df.select(t_test_pvalue(F.col("rho"), F.col("n"))).first()[0] == pytest.approx(p, rel=2e-8)
+
+
+def test_p_value_of_nan_and_large_pass_counts(spark):
+    df = spark.createDataFrame([(float("nan"), 9, 10**9, 10**8, 3)], "rho double, m long, n long, c long, k int")
+    r = df.select(t_test_pvalue(F.col("rho"), F.col("m")).alias("p"), pass_at_k_expr(F.col("n"), F.col("c"), F.col("k")).alias("v")).first()
+    assert r.p is None and r.v == pytest.approx(1 - 0.9**3, rel=1e-6)
