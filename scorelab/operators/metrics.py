@@ -135,14 +135,24 @@ def mean_runtime(runs: DataFrame, keys=("model", "task_id"), seconds: str = "sec
     return g.withColumn("efficiency_score", scale_efficiency("mean_seconds", max_time))
 
 
-def attach_verdicts(samples: DataFrame, verdicts: DataFrame, keys=("model", "task_id")) -> DataFrame:
+def sample_keys(*tables: DataFrame, keys=None) -> list[str]:
+    """``keys``, or model and task plus the sample number where every table has one."""
+    if keys is not None:
+        return list(keys)
+    have = [set(t.columns) for t in tables if t is not None]
+    return ["model", "task_id"] + (["sample_id"] if all("sample_id" in h for h in have) else [])
+
+
+def attach_verdicts(samples: DataFrame, verdicts: DataFrame, keys=None) -> DataFrame:
     """Left join recorded verdicts; missing verdict -> not passed (gate 0).
 
-    A shuffle join on the sample key (AQE turns it into a broadcast when the
-    verdict table is small at run time, and splits a skewed key otherwise)."""
-    v = verdicts.select(*keys, F.col("passed").alias("_v"))
-    j = samples.drop("passed").join(v, list(keys), "left") if "passed" in samples.columns else samples.join(v, list(keys), "left")
-    return j.withColumnRenamed("_v", "passed").withColumn("functional_correctness", gate("passed"))
+    Keyed on the sample (model, task_id and, where both tables have it, sample_id).
+    Several verdicts of one key become one before the join - it passed if every one of
+    them says so - so the result has exactly one row for each sample row."""
+    keys = sample_keys(samples, verdicts, keys=keys)
+    v = verdicts.groupBy(*keys).agg(F.bool_and("passed").alias("_v"))
+    return samples.drop("passed").join(v, keys, "left").withColumnRenamed("_v", "passed").withColumn(
+        "functional_correctness", gate("passed"))
 
 
 def unattempted(problems: DataFrame, samples: DataFrame, key: str = "task_id") -> DataFrame:
@@ -151,39 +161,48 @@ def unattempted(problems: DataFrame, samples: DataFrame, key: str = "task_id") -
 
 
 def evaluate(samples: DataFrame, verdicts: DataFrame | None = None, runs: DataFrame | None = None,
-             code: str = "completion", keys=("model", "task_id"), words=None,
-             block_marker: str = PY_BLOCK_MARKER, rules=None, zero_policy: str = "drop") -> DataFrame:
+             code: str = "completion", keys=None, words=None, block_marker: str = PY_BLOCK_MARKER, rules=None,
+             zero_policy: str = "drop", syntax_ok: str | None = None, keep_code: bool = False) -> DataFrame:
     """The whole scoring run as one lazy plan: samples (+ verdicts) (+ runs) -> metrics ->
-    scaled experts -> gated product of experts. Output: keys + the summary columns."""
-    df = samples
-    if verdicts is not None:
-        df = attach_verdicts(df, verdicts, keys)
-    elif "passed" not in df.columns:
-        df = df.withColumn("passed", F.lit(None).cast("boolean"))
-    if runs is not None:
-        rt = mean_runtime(runs, keys).select(*keys, "efficiency_score")
-        df = df.join(rt, list(keys), "left")
-    else:
-        df = df.withColumn("efficiency_score", F.lit(None).cast("double"))
+    scaled experts -> gated product of experts. Output: one row per sample, keys + the
+    summary columns (and ``code`` with ``keep_code``).
+
+    The text metrics come first, in the scan of the samples, so the joins move a few
+    numbers of each sample and no text (unless ``keep_code`` asks for it). Keys are model,
+    task_id and, where the samples have one, sample_id; verdicts and runs without a
+    sample_id hold for all samples of their task. ``syntax_ok``: a boolean column of
+    ``samples``; false means the code does not parse: no complexity, style score 0."""
+    keys = sample_keys(samples, keys=keys)
     c = F.coalesce(F.col(code), F.lit(""))
+    broken = F.lit(False) if syntax_ok is None else ~F.coalesce(F.col(syntax_ok), F.lit(True))
+    given = [F.col("passed")] if verdicts is None and "passed" in samples.columns else []
     # the rule fold also counts logical lines (= LOC), so the text is split twice, not three times
-    df = df.select(
-        *keys, "passed", "efficiency_score",
+    df = samples.select(
+        *keys, *given, *([F.col(code)] if keep_code else []), broken.alias("_broken"),
         decision_points(c, words, block_marker).alias("_cc"),
         rule_counts(c, rules).alias("_rc"),
     )
+    style = F.when(F.col("_broken"), F.lit(0.0)).otherwise(score_from_counts(F.col("_rc")))
     df = df.select(
-        *keys,
-        "passed",
-        scale_cc(F.col("_cc.avg_cc")).alias("avg_cyclomatic_complexity"),
-        scale_cc(F.col("_cc.max_cc")).alias("max_cyclomatic_complexity"),
-        scale_lint(score_from_counts(F.col("_rc"))).alias("style_score"),
-        "efficiency_score",
+        *keys, *([F.col("passed")] if given else []), *([F.col(code)] if keep_code else []),
+        scale_cc(F.when(~F.col("_broken"), F.col("_cc.avg_cc"))).alias("avg_cyclomatic_complexity"),
+        scale_cc(F.when(~F.col("_broken"), F.col("_cc.max_cc"))).alias("max_cyclomatic_complexity"),
+        scale_lint(style).alias("style_score"),
         scale_loc(F.col("_rc.n_lines")).alias("loc_score"),
-        gate("passed").alias("functional_correctness"),
     )
-    return df.withColumn(
+    if verdicts is not None:
+        df = attach_verdicts(df, verdicts, [k for k in keys if k in verdicts.columns])
+    elif not given:
+        df = df.withColumn("passed", F.lit(None).cast("boolean"))
+    if runs is not None:
+        on = [k for k in keys if k in runs.columns]
+        df = df.join(mean_runtime(runs, on).select(*on, "efficiency_score"), on, "left")
+    else:
+        df = df.withColumn("efficiency_score", F.lit(None).cast("double"))
+    df = df.withColumn("functional_correctness", gate("passed")).withColumn(
         "overall_score",
         overall_score("functional_correctness", "avg_cyclomatic_complexity", "style_score",
                       "efficiency_score", "loc_score", zero_policy=zero_policy),
     )
+    return df.select(*keys, *([code] if keep_code else []), "passed", "avg_cyclomatic_complexity", "max_cyclomatic_complexity",
+                     "style_score", "efficiency_score", "loc_score", "functional_correctness", "overall_score")

@@ -162,9 +162,31 @@ def rank_concordance(means: DataFrame, metrics=None, overall: str = "overall_sco
 
 def pearson_matrix(df: DataFrame, metrics=None) -> DataFrame:
     """Pearson correlation per metric pair over all rows, pairwise complete; long
-    form, lower triangle. Each row emits its (fixed, metric-list-sized) pairs and a
-    small aggregate reduces them map-side; one aggregate with a correlation per pair
-    instead would compile into a method too large to JIT."""
+    form, lower triangle. Values are first shifted by their means (a one-row aggregate,
+    broadcast), so plain sums of products keep their digits; one aggregate then holds
+    the sums of every pair, and its one-row result is unfolded into a row per pair."""
     metrics = METRICS if metrics is None else metrics
-    keys = ["pos_a", "metric_a", "pos_b", "metric_b"]
-    return _pearson(metric_pairs(df, metrics), keys, "a", "b")
+    cols = available(df.columns, metrics)
+    if not cols:
+        return _pearson(metric_pairs(df, metrics), ["pos_a", "metric_a", "pos_b", "metric_b"], "a", "b")
+    names = [f"m{i}" for i in range(len(cols))]
+    rows = df.select(*[nan_to_null(F.col(c)).cast("double").alias(m) for m, c in zip(names, cols)])
+    means = rows.agg(*[F.avg(m).alias(f"mean_{m}") for m in names])
+    rows = rows.join(F.broadcast(means)).select(*[(F.col(m) - F.col(f"mean_{m}")).alias(m) for m in names])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    sums = []
+    for i, j in pairs:
+        a, b = F.col(names[i]), F.col(names[j])
+        of_both = {"ab": a * b, "a": a + b * 0, "b": b + a * 0, "aa": a * a + b * 0, "bb": b * b + a * 0} if i != j else {"ab": a * a, "a": a}
+        sums += [F.sum(x).alias(f"{k}{i}_{j}") for k, x in of_both.items()] + [F.count(a * b).alias(f"n{i}_{j}")]
+
+    def rho(i, j):
+        n, x, ab = (F.col(f"{k}{i}_{j}") for k in ("n", "a", "ab"))
+        if i == j:
+            return F.try_divide(ab - x * x / n, ab - x * x / n)
+        y, aa, bb = (F.col(f"{k}{i}_{j}") for k in ("b", "aa", "bb"))
+        return F.try_divide(ab - x * y / n, F.sqrt(F.greatest(aa - x * x / n, F.lit(0.0))) * F.sqrt(F.greatest(bb - y * y / n, F.lit(0.0))))
+
+    unfolded = F.array(*[F.struct(F.lit(i).alias("pos_a"), F.lit(cols[i]).alias("metric_a"), F.lit(j).alias("pos_b"), F.lit(cols[j]).alias("metric_b"),
+                                  F.when(F.col(f"n{i}_{j}") > 0, rho(i, j)).alias("rho"), F.col(f"n{i}_{j}").alias("n")) for i, j in pairs])
+    return rows.agg(*sums).select(F.inline(unfolded)).where("n > 0")

@@ -9,7 +9,8 @@ from scorelab.operators import agg, rank
 from scorelab.plans import relations as R
 from scorelab.plans.catalog import register, rounded
 from scorelab.plans.analytics_queries import MEAN_COLS, _SPEARMAN_SQL, _means
-from scorelab.plans.text_queries import _duck_eval, evaluate_documents
+from scorelab.operators import metrics as M
+from scorelab.plans.text_queries import PROSE_MARKER, PROSE_WORDS, _duck_eval, _verdicts
 from scorelab.schemas import HEATMAP_METRICS, METRICS
 from scorelab.session import scratch_path
 from scorelab.sources import io
@@ -27,14 +28,19 @@ def summary_csv_roundtrip(spark, sf_dir):
     return rounded(agg.model_means(back))
 
 
-@register("results_jsonl_roundtrip", f"""SELECT model, task_id, passed, overall_score, style_score
-FROM ({_duck_eval()})""")
+@register("results_jsonl_roundtrip", f"""
+WITH r AS ({_duck_eval()})
+SELECT r.*, md5(d.text) AS completion_md5, CAST(length(d.text) AS INTEGER) AS completion_len
+FROM r JOIN documents d ON r.task_id = CAST(d.doc_id AS VARCHAR)""")
 def results_jsonl_roundtrip(spark, sf_dir):
-    """K1 -> scan: full result rows written as JSONL with NULLs kept, read back by schema."""
+    """K1 -> scan: full result rows with their texts written as JSONL, NULLs kept, read back by
+    schema; all columns and digests of the texts."""
     out = scratch_path(spark, "results-jsonl")
-    io.write_jsonl(evaluate_documents(spark, sf_dir).withColumn("completion", F.lit(None).cast("string")), out)
+    docs = R.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("model"), F.col("doc_id").cast("string").alias("task_id"), F.col("text").alias("completion"))
+    io.write_jsonl(rounded(M.evaluate(docs, _verdicts(spark, sf_dir), None, words=PROSE_WORDS, block_marker=PROSE_MARKER, keep_code=True)), out)
     back = io.read_results(spark, out)
-    return back.select("model", "task_id", "passed", "overall_score", "style_score")
+    return back.select("*", F.md5("completion").alias("completion_md5"), F.length("completion").alias("completion_len")).drop("completion")
 
 
 def _wide_sql() -> str:

@@ -20,35 +20,9 @@ from scorelab.functions.poe import overall_score
 from scorelab.functions.scale import gate, scale_cc, scale_efficiency, scale_lint, scale_loc
 
 
-# Keys of the tables whose rows feed heavy per-row work (scoring, text regexes);
-# used to spread thin scans. Events feed only aggregates and keep the scan layout.
-TABLE_KEYS = {
-    "lineitem": ["l_orderkey", "l_linenumber"],
-    "documents": ["doc_id"],
-    "pages": ["page_id"],
-    "conversations": ["conv_id", "turn"],
-}
-
-
-def spread(df: DataFrame, keys) -> DataFrame:
-    """Hash-repartition a scan that has fewer partitions than the session has task
-    slots (e.g. one large row group), so row-local work and map-side aggregation run
-    in parallel. A scan that is already wide is returned unchanged: at scale this
-    adds no shuffle. Hashing on the key keeps the layout deterministic on retry."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without an RDD API (Spark Connect)
-        return df
-    if current >= target:
-        return df
-    return df.repartition(target, *keys)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    keys = TABLE_KEYS.get(name)
-    return spread(df, keys) if keys else df
+    """A table as its files lay it out; the number of tasks follows from the files."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:

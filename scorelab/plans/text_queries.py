@@ -167,11 +167,8 @@ def verdict_join(spark, sf_dir):
     """M4 + J1: samples left-joined with recorded verdicts; missing -> gate 0."""
     d = R.table(spark, sf_dir, "documents").select(
         F.col("source").alias("model"), F.col("doc_id").cast("string").alias("task_id"))
-    lab = R.table(spark, sf_dir, "labels").join(
-        R.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "inner").select(
-        F.col("source").alias("model"), F.col("doc_id").cast("string").alias("task_id"),
-        (F.col("quality") == 1).alias("passed"))
-    return M.attach_verdicts(d, lab).select("model", "task_id", "passed", "functional_correctness")
+    lab = R.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("task_id"), (F.col("quality") == 1).alias("passed"))
+    return M.attach_verdicts(d, lab, keys=["task_id"]).select("model", "task_id", "passed", "functional_correctness")
 
 
 @register("unattempted", """SELECT CAST(d.doc_id AS VARCHAR) AS task_id FROM documents d
@@ -217,14 +214,41 @@ def evaluate_documents(spark, sf_dir):
     docs = R.table(spark, sf_dir, "documents").select(
         F.col("source").alias("model"), F.col("doc_id").cast("string").alias("task_id"),
         F.col("text").alias("completion"))
-    lab = R.table(spark, sf_dir, "labels").join(
-        R.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "inner").select(
-        F.col("source").alias("model"), F.col("doc_id").cast("string").alias("task_id"),
-        (F.col("quality") == 1).alias("passed"))
-    out = M.evaluate(docs, lab, None, words=PROSE_WORDS, block_marker=PROSE_MARKER)
+    out = M.evaluate(docs, _verdicts(spark, sf_dir), None, words=PROSE_WORDS, block_marker=PROSE_MARKER)
     return rounded(out)
 
 
+def _verdicts(spark, sf_dir):
+    return R.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("task_id"), (F.col("quality") == 1).alias("passed"))
+
+
+@register("evaluate_samples", f"""
+WITH e AS ({_duck_eval()}),
+b AS (SELECT e.*, sample_id, CAST(task_id AS BIGINT) % 4 = 3 AS broken,
+             CASE WHEN sample_id = 0 THEN e.passed ELSE CAST(task_id AS BIGINT) % 3 = 0 END AS ok
+      FROM e, (SELECT unnest(range(0, 2)) AS sample_id)),
+x AS (SELECT model, task_id, CAST(sample_id AS INTEGER) AS sample_id, ok AS passed,
+             CASE WHEN NOT broken THEN avg_cyclomatic_complexity END AS avg_cyclomatic_complexity,
+             CASE WHEN NOT broken THEN max_cyclomatic_complexity END AS max_cyclomatic_complexity,
+             CASE WHEN broken THEN 0.0 ELSE style_score END AS style_score, loc_score FROM b)
+SELECT model, task_id, sample_id, passed, avg_cyclomatic_complexity, max_cyclomatic_complexity, style_score, loc_score,
+       coalesce(CAST(passed AS DOUBLE), 0.0) AS functional_correctness FROM x""")
+def evaluate_samples(spark, sf_dir):
+    """M1, M2, M4, J1 per sample: two samples of every document with their own verdicts (each
+    recorded twice), a quarter of the texts not parsing: one row per sample."""
+    docs = R.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("model"), F.col("doc_id").cast("string").alias("task_id"), F.col("text").alias("completion"),
+        (F.col("doc_id") % 4 != 3).alias("parses")).withColumn("sample_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    keyed = R.table(spark, sf_dir, "documents").select(F.col("source").alias("model"), F.col("doc_id").cast("string").alias("task_id"), "doc_id")
+    first = keyed.join(R.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select(
+        "model", "task_id", F.lit(0).alias("sample_id"), (F.col("quality") == 1).alias("passed"))
+    second = keyed.select("model", "task_id", F.lit(1).alias("sample_id"), (F.col("doc_id") % 3 == 0).alias("passed"))
+    verdicts = first.unionByName(second)
+    verdicts = verdicts.unionByName(verdicts)
+    out = M.evaluate(docs, verdicts, None, words=PROSE_WORDS, block_marker=PROSE_MARKER, syntax_ok="parses")
+    return rounded(out.drop("efficiency_score", "overall_score"))
+
+
 def _models_values() -> str:
     return ", ".join(f"({_q(m)})" for m in P.DEFAULT_MODELS)
 

@@ -23,8 +23,22 @@ def test_product_of_experts_has_no_lambdas(spark):
 
 
 def test_correlations_need_no_join(spark):
-    for name in ("pearson_matrix", "spearman_matrix"):
-        assert "Join" not in optimized(E.queries()[name](spark, SF001)), name
+    assert "Join" not in optimized(E.queries()["spearman_matrix"](spark, SF001))
+    # one aggregate over shifted values: raw rows are not unfolded into pairs
+    plan = optimized(E.queries()["pearson_matrix"](spark, SF001))
+    assert "explode" not in plan and plan.count("Join") == plan.count("strategy=broadcast") == 1
+
+
+def test_no_scan_is_dealt_anew(spark):
+    for name in ("poe_by_model", "clean_text", "verdict_join", "evaluate_documents"):
+        plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION" not in plan, name
+
+
+def test_evaluation_moves_no_text(spark):
+    plan = E.queries()["evaluate_documents"](spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Join")[:-1]     # what stands at or above a join
+    assert above and not any("completion#" in part or "text#" in part for part in above)
 
 
 def test_per_model_normalisation_scans_once(spark):
