@@ -13,6 +13,16 @@ from scorelab.operators.rank import wide_matrix
 from scorelab.schemas import CHUNK_SCHEMA, PROBLEM_SCHEMA, SAMPLE_SCHEMA, SUMMARY_COLS, SUMMARY_SCHEMA
 
 
+def _unless_missing(read, empty):
+    """``read()``, or ``empty()`` if the path does not exist; every other error is raised."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty()
+
+
 def _empty(spark: SparkSession, schema: T.StructType, extra=()) -> DataFrame:
     fields = list(schema.fields) + [T.StructField(n, T.StringType()) for n in extra]
     return spark.createDataFrame([], T.StructType(fields))
@@ -30,9 +40,8 @@ def _stem(name):
 def read_samples(spark: SparkSession, samples_dir: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
     """Every ``*.jsonl`` in a folder; model = name minus ``_samples.jsonl``, else the stem.
     A missing folder gives an empty table of the same schema."""
-    try:
-        df = spark.read.schema(schema).json(f"{samples_dir.rstrip('/')}/*.jsonl")
-    except AnalysisException:
+    df = _unless_missing(lambda: spark.read.schema(schema).json(f"{samples_dir.rstrip('/')}/*.jsonl"), lambda: None)
+    if df is None:
         return _empty(spark, schema, ["model"])
     name = _file_name()
     model = F.when(name.endswith("_samples.jsonl"), F.regexp_replace(name, r"_samples\.jsonl$", "")).otherwise(_stem(name))
@@ -45,30 +54,44 @@ def read_problems(spark: SparkSession, path: str, partitions: int | None = None)
     return df.repartition(partitions, "task_id") if partitions else df
 
 
-def read_summaries(spark: SparkSession, pattern: str, model_from: str = "file") -> DataFrame:
-    """S3 + U1: all summary CSVs of a glob in one scan; model = stem with ``_summary`` removed.
+def read_summaries(spark: SparkSession, pattern: str, model_from: str = "file", ignore_corrupt: bool = False) -> DataFrame:
+    """S3 + U1: all summary CSVs of a glob; model = stem with ``_summary`` removed.
 
+    Columns are matched by name: each file's own header says what its cells are, a
+    summary column that a file lacks is NULL and other columns are left out. A first
+    pass finds the distinct headers (lines with a ``task_id`` cell; few rows reach the
+    driver besides the file names, which planning a scan needs anyway), and the files of
+    each header are then read together. A file without such a header fails the read.
     ``model_from="partition"``: ``pattern`` is a folder written by ``write_summary_csv``
-    and the model comes from its ``model=...`` sub-folders (partition discovery).
-    Malformed cells become NULL (permissive parse); unreadable files are skipped;
-    no match gives an empty table."""
-    schema = SUMMARY_SCHEMA
-    if model_from == "partition":
-        schema = T.StructType(SUMMARY_SCHEMA.fields + [T.StructField("model", T.StringType())])
-    try:
-        df = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("mode", "PERMISSIVE")
-            .option("ignoreCorruptFiles", True)
-            .csv(pattern)
-        )
-    except AnalysisException:
+    and the model comes from its ``model=...`` sub-folders. Malformed cells become NULL.
+    An unreadable file fails the read, or with ``ignore_corrupt`` is left out; no match
+    gives an empty table."""
+    text = _unless_missing(lambda: spark.read.option("ignoreCorruptFiles", ignore_corrupt).option("recursiveFileLookup", True).text(pattern), lambda: None)
+    if text is None:
         return _empty(spark, SUMMARY_SCHEMA, ["model"])
-    if model_from == "partition":
-        return df.select(*SUMMARY_SCHEMA.fieldNames(), "model")
-    model = F.replace(_stem(_file_name()), F.lit("_summary"), F.lit(""))
-    return df.select(*SUMMARY_SCHEMA.fieldNames(), model.alias("model"))
+    cells = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), ","), lambda c: F.trim(F.translate(c, '"\r', "")))
+    heads = text.select(F.col("_metadata.file_path").alias("path"), cells.alias("head")).where(F.array_contains("head", "task_id"))
+    by_head: dict[tuple, list[str]] = {}
+    found = heads.groupBy("path").agg(F.first("head").alias("head")).collect()
+    for r in found:
+        by_head.setdefault(tuple(r["head"]), []).append(r["path"])
+    paths = {r["path"] for r in found}
+    other = [f for f in text.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path")).distinct().collect() if f["path"] not in paths]
+    if other:
+        raise ValueError(f"no summary header in {other[0]['path']}")
+    out = None
+    for head, files in sorted(by_head.items()):
+        names = [f"c{i}" for i in range(len(head))]
+        raw = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("header", True)
+               .option("enforceSchema", True).option("ignoreCorruptFiles", ignore_corrupt).csv(files))
+        at = {c: n for n, c in reversed(list(zip(names, head)))}
+        cols = [(F.col(at[f.name]).try_cast(f.dataType) if f.name in at else F.lit(None).cast(f.dataType)).alias(f.name) for f in SUMMARY_SCHEMA.fields]
+        name = _file_name() if model_from == "file" else None
+        folder = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/model=([^/]*)/[^/]*$", 1))
+        model = F.replace(_stem(name), F.lit("_summary"), F.lit("")) if name is not None else folder
+        part = raw.select(*cols, model.alias("model"))
+        out = part if out is None else out.unionByName(part)
+    return _empty(spark, SUMMARY_SCHEMA, ["model"]) if out is None else out
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -85,10 +108,15 @@ def read_raw_answers(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
-def read_chunks(spark: SparkSession, path: str, schema: T.StructType = CHUNK_SCHEMA) -> DataFrame:
-    """Captured NDJSON chunk logs; blank lines are skipped by the JSON reader."""
-    df = spark.read.schema(schema).json(path)
-    return df.where(F.col("request_id").isNotNull())
+def read_chunks(spark: SparkSession, path: str, schema: T.StructType = CHUNK_SCHEMA, bad_lines: str = "fail") -> DataFrame:
+    """Captured NDJSON chunk logs; blank lines are skipped by the JSON reader.
+
+    ``bad_lines``: "fail" (default) fails on a line that is not a chunk, as a lost chunk would
+    make a cut response look whole; "keep" keeps it in a column ``bad_line``."""
+    if bad_lines == "fail":
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    kept = T.StructType(schema.fields + [T.StructField("bad_line", T.StringType())])
+    return spark.read.schema(kept).option("columnNameOfCorruptRecord", "bad_line").json(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -96,3 +96,57 @@ def test_problems_gzip(spark):
     df = io.read_problems(spark, os.path.join(base, "*.jsonl.gz"), partitions=3)
     assert df.rdd.getNumPartitions() == 3
     assert sorted(r["task_id"] for r in df.collect()) == [f"T/{i}" for i in range(5)]
+
+
+def _write(base, name, text):
+    os.makedirs(base, exist_ok=True)
+    with open(os.path.join(base, name), "w") as f:
+        f.write(text)
+
+
+def test_summaries_are_read_by_column_name(spark):
+    import pytest
+
+    base = local_scratch(spark, "by-name")
+    _write(base, "a_7b_summary.csv", "task_id,passed,style_score,avg_cyclomatic_complexity,extra\nT/1,True,0.11,0.92,9\nT/2,False,,nan?,9\n")
+    _write(base, "b_summary.csv", "overall_score,task_id\n0.7,T/1\n")
+    got = {(r.model, r.task_id): r for r in io.read_summaries(spark, f"{base}/*_summary.csv").collect()}
+    assert set(got) == {("a_7b", "T/1"), ("a_7b", "T/2"), ("b", "T/1")}
+    r = got[("a_7b", "T/1")]
+    assert (r.passed, r.style_score, r.avg_cyclomatic_complexity, r.overall_score) == (True, 0.11, 0.92, None)
+    assert got[("b", "T/1")].overall_score == 0.7 and got[("b", "T/1")].max_cyclomatic_complexity is None
+    assert got[("a_7b", "T/2")].avg_cyclomatic_complexity is None
+    assert io.read_summaries(spark, f"{base}/none*.csv").count() == 0
+    _write(base, "c_summary.csv", "1,2\n3,4\n")
+    with pytest.raises(ValueError):
+        io.read_summaries(spark, f"{base}/*_summary.csv")
+
+
+def test_unreadable_files_and_lines_are_told(spark):
+    import pytest
+
+    base = local_scratch(spark, "broken")
+    os.makedirs(base)
+    import gzip
+
+    whole = gzip.compress(b"task_id,passed\n" + b"".join(b"T/%d,True\n" % i for i in range(20000)))
+    with open(os.path.join(base, "x_summary.csv.gz"), "wb") as f:
+        f.write(whole[:len(whole) // 2])
+    with pytest.raises(Exception):
+        io.read_summaries(spark, f"{base}/*.csv.gz").count()
+    _write(base, "c.ndjson", '{"request_id": "r", "seq": 0, "response": "a", "done": false}\n{"request_id": "r", "se\n')
+    with pytest.raises(Exception):
+        io.read_chunks(spark, os.path.join(base, "c.ndjson")).collect()
+    kept = io.read_chunks(spark, os.path.join(base, "c.ndjson"), bad_lines="keep").collect()
+    assert len(kept) == 2 and sum(r.bad_line is not None for r in kept) == 1
+
+
+def test_evaluate_has_one_row_per_sample(spark):
+    from scorelab.operators.metrics import evaluate
+
+    samples = spark.createDataFrame([("m", "t", 0, "def f():\n    if a: pass", True), ("m", "t", 1, "def f(", False)],
+                                    "model string, task_id string, sample_id int, completion string, ok boolean")
+    verdicts = spark.createDataFrame([("m", "t", 0, True), ("m", "t", 0, True), ("m", "t", 1, False)], "model string, task_id string, sample_id int, passed boolean")
+    got = {r.sample_id: r for r in evaluate(samples, verdicts, syntax_ok="ok", keep_code=True).collect()}
+    assert len(got) == 2 and got[0].passed and not got[1].passed and got[0].completion.startswith("def")
+    assert got[1].avg_cyclomatic_complexity is None and got[1].style_score == 0.0 and got[0].avg_cyclomatic_complexity == 0.8
