@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
 
@@ -26,11 +27,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str,
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType, column: str,
                setup: Callable | None = None, limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices: ``fn(slice)`` (or ``fn(slice, state)`` with ``setup``)
     returns the output columns by name, in the order of ``schema``."""
-    target = df.sparkSession.createDataFrame([], schema).schema
+    target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,4 +45,4 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
                     [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type)
                      for x, f in ((cols[f.name], f) for f in out)], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, target)

@@ -123,8 +123,7 @@ def grouped(batches, keys: list[str]):
         yield at, held
 
 
-def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                  threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Near-duplicate classes of texts: ``id_col``, ``class_id`` and ``n_links`` for every row.
 
     Two rows are linked if the Jaccard similarity of their shingle sets is at least
@@ -135,8 +134,34 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other. Null ids stay null and never name a class unless it holds no other id. Extra
     columns are ignored. ``recall`` bounds the chance of finding a pair exactly at the
     threshold; pairs above it are found more surely, and every reported link is verified."""
+    sig, per_class = _classes(df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")), **options)
+    return sig.select("id", "c").join(per_class, "c", "left").select(
+        F.col("id").alias(id_col), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``df`` with one row of each near-duplicate class: the one with the smallest id, ties by a
+    hash of the text; of repeated rows any one, as they are equal in id and text. Rows
+    without a word all stay. Columns and cases as in ``ngram_classes``."""
+    names = df.columns
+    keyed = df.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(2**63 - 1)), "_key": F.xxhash64(F.col(f"`{text_col}`"))})
+    sig, per_class = _classes(df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")), **options)
+    each = written(sig.groupBy(F.coalesce("id", F.lit(2**63 - 1)).alias("_id"), F.col("key").alias("_key")).agg(
+        F.first("c").alias("c"), F.count("*").alias("times")), "rows")
+    kept = each.join(per_class.select("c", "keeper"), "c", "left").where(
+        "c is null or (keeper.id = _id and keeper.key = _key)").select("_id", "_key", F.when(F.col("c").isNotNull(), F.col("times")).otherwise(1).alias("_times"))
+    kept = written(kept, "kept")
+    rows = [f"`{c}`" for c in names]
+    once = keyed.join(kept.where("_times = 1").select("_id", "_key"), ["_id", "_key"]).select(*rows)
+    more = keyed.join(kept.where("_times > 1").select("_id", "_key"), ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select(*rows)
+    return once.unionByName(more)
+
+
+def _classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+    """The signatures of the rows (``id``, ``text``), and for each class of copies ``c``: ``class_id``,
+    ``n_links`` and ``keeper``, the (id, key) of the first row of the whole class."""
     bands, n_rows = bands_for(threshold, recall)
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
     sig = written(signatures(rows, width, bands, n_rows), "signatures")
 
@@ -186,13 +211,10 @@ def ngram_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     found = written(dealt.mapInArrow(verify, "c binary, links bigint, to binary"), "links")
     roots = components(found.where("to is not null"), "c", "to")
-    rep = classes.select("c", "copies", "rep")
-    rooted = rep.join(roots, rep.c == roots.node, "left").select("c", "copies", "rep", F.coalesce("root", "c").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
+    rep = classes.select("c", "copies", "rep", "at")
+    rooted = rep.join(roots, rep.c == roots.node, "left").select("c", "copies", "rep", "at", F.coalesce("root", "c").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("at").alias("keeper"))
     n_links = found.where("to is null").groupBy("c").agg(F.sum("links").alias("links"))
-    # a table of its own, so that the last join can split the rows of a class with many copies
     per_class = written(rooted.join(lowest, "root").join(n_links, "c", "left").select(
-        "c", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "per-class")
-    return sig.select("id", "c").join(per_class, "c", "left").select(
-        F.col("id").alias(id_col), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+        "c", "class_id", "keeper", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "per-class")
+    return sig, per_class

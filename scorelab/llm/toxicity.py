@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from scorelab.llm.arrow import map_slices
 from scorelab.llm.samples import fold, labelled_sample
@@ -219,3 +220,19 @@ def score(docs: DataFrame, model: dict, folds: int = 5, held_out: int = 0, cut:
 
     out = map_slices(src, run, f"`_id` {kind}, held_out boolean, score double, predicted int", "_text", setup=lambda: Terms(names))
     return out.withColumnRenamed("_id", id_col)
+
+
+def flag(docs: DataFrame, model: dict, cut: float = 0.5, text_col: str = "text", name: str = "_toxic") -> DataFrame:
+    """``docs`` with all its columns and ``name``: whether the text scores ``cut`` or more."""
+    rows = docs.drop(name)
+    inner = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{text_col}`").alias("_text"))
+    keep = [i for i, w in enumerate(model["weights"]) if w > 0]
+    names, weights, bias = [model["terms"][i] for i in keep], model["weights"][keep], model["bias"]
+    edge = float(np.log(cut / (1 - cut)))
+
+    def run(part: pa.RecordBatch, state: Terms) -> dict:
+        return {"row": part.column("row"), "toxic": [bias + float(weights[state.find(t)].sum()) >= edge for t in part.column("_text").to_pylist()]}
+
+    schema = StructType([inner.schema["row"], StructField("toxic", BooleanType())])
+    out = map_slices(inner, run, schema, "_text", setup=lambda: Terms(names))
+    return out.select("row.*", F.col("toxic").alias(name))
