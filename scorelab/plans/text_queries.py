@@ -276,3 +276,20 @@ def labels_pretty(spark, sf_dir):
     """P15 + K4: display label (mapped, else title case) and file-safe name of each URL."""
     g = R.table(spark, sf_dir, "pages")
     return g.select("page_id", display_label(F.col("url")).alias("label"), safe_name(F.col("url")).alias("safe_name"))
+
+
+@register("json_mixed", f"""
+WITH t AS (SELECT doc_id, doc_id % 7 AS k, {duck_clean("translate(text, '{}', '')")} AS clean FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN md5(clean) WHEN 1 THEN md5(clean) WHEN 6 THEN md5('d = {{"a": {{}}}}') END AS code_md5,
+       CASE k WHEN 2 THEN 'no_code_field' WHEN 3 THEN 'invalid_json' WHEN 4 THEN 'unclosed' WHEN 5 THEN 'no_object' END AS error FROM t""")
+def json_mixed(spark, sf_dir):
+    """T1-T3, T5 on mixed answers: code key, completion key, a number as code, single quotes, an
+    unclosed object, no object, and braces inside the code."""
+    plain = F.translate("text", "{}", "")
+    wrap = lambda key: F.concat(F.lit("Sure: "), F.to_json(F.struct(plain.alias(key))), F.lit(" ok"))
+    k = F.col("doc_id") % 7
+    raw = (F.when(k == 0, wrap("code")).when(k == 1, wrap("completion")).when(k == 2, F.lit('say {"code": 12} ok'))
+           .when(k == 3, F.lit("{'code': 'x'}")).when(k == 4, F.concat(F.lit('{"code": "'), plain)).when(k == 5, plain)
+           .otherwise(F.lit('so {"code": "d = {\\"a\\": {}}"} and }')))
+    d = R.table(spark, sf_dir, "documents").select("doc_id", TX.extract_strict(raw).alias("r"))
+    return d.select("doc_id", F.md5("r.code").alias("code_md5"), F.col("r.error").alias("error"))
