@@ -10,7 +10,7 @@ starts elsewhere in the corpus.
    slices are aggregated first: all windows of a slice found twice repeat.
 4. A task sorts the suffixes of the different slices of its anchors in two stages
    (``suffixes``) and compares neighbours. An anchor with more than ``HOT`` different
-   slices is not given to one task: its windows are counted by 128-bit hashes instead.
+   slices is not given to one task: see ``_hot_runs``.
 5. The repeated windows of each text, as runs, are joined back to the texts and cut out.
 """
 
@@ -31,8 +31,10 @@ from scorelab.llm.suffixes import repeated_windows
 GRAM = 48          # bytes of an anchor string (less where the width is small)
 RUN = 2048         # most windows in a slice
 HOT = 500          # most different slices of an anchor sorted in one task
+LEVELS = (32, 8, 1)   # windows in a block, for anchors with more
 CHUNK = 1 << 19    # bytes of slices sorted together
 SLICE = 1 << 20
+_OTHER = mix(_BYTE + np.uint64(1))
 
 
 def _gram(width: int) -> int:
@@ -156,6 +158,71 @@ def _sort_tasks(batches, width: int):
         yield solve(held)
 
 
+def _region_hashes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the bytes [a, b) and the number ``more``."""
+    power, inverse = _powers(len(buf) + 1)
+    out = []
+    for table in (_BYTE, _OTHER):
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(table[buf] * power[:-1], out=total[1:])
+        out.append(mix(mix((total[b] - total[a]) * inverse[a]) + table[7] * (more.astype(np.uint64) + np.uint64(1))).view(np.int64))
+    return out[0], out[1]
+
+
+def _blocks(part: pa.RecordBatch, size: int, width: int) -> dict:
+    """Blocks of at most ``size`` windows, aligned to the anchor: hashes of the bytes that all
+    windows of the full block hold (``cx``, ``cy``) and of all bytes of the block (``wx``, ``wy``)."""
+    out: dict[str, list] = {c: [] for c in ("digest", "a", "b", "cx", "cy", "wx", "wy")}
+    for digest, anchor, body, ranges in zip(*(part.column(c).to_pylist() for c in ("digest", "anchor", "body", "ranges"))):
+        buf = np.frombuffer(body, np.uint8)
+        at = np.flatnonzero(_rolling(buf, _gram(width)).view(np.int64) == anchor)
+        i = np.concatenate([np.arange(r["a"], r["b"]) for r in ranges])
+        p = at[np.searchsorted(at, i)]
+        block = (p - i) // size
+        new = np.ones(len(i), bool)
+        new[1:] = (np.diff(i) != 1) | (np.diff(p) != 0) | (np.diff(block) != 0)
+        first = np.flatnonzero(new)
+        a, b = i[first], i[np.append(first[1:], len(i)) - 1] + 1
+        p, block = p[first], block[first]
+        core = p - block * size
+        cx, cy = _region_hashes(buf, core, core - size + 1 + width, block)
+        wx, wy = _region_hashes(buf, a, b - 1 + width, (p - a) * (2 * size) + (b - a))
+        for c, x in (("a", a), ("b", b), ("cx", cx), ("cy", cy), ("wx", wx), ("wy", wy)):
+            out[c] += x.tolist()
+        out["digest"] += [digest] * len(a)
+    return out
+
+
+def _hot_runs(slices: DataFrame, width: int) -> DataFrame:
+    """``digest`` and ``runs`` for the slices of anchors that have very many of them.
+
+    Equal windows lie alike to their anchor, so windows are grouped in blocks aligned to
+    it. A window can only repeat if the bytes common to its whole block repeat; other
+    blocks go. Blocks that repeat as a whole are done, and one of each stands for them
+    below; the rest is cut into smaller blocks, down to single windows. All counts are
+    pre-aggregated; a very common block is never in one task."""
+    todo = slices.select("digest", F.array(F.struct(F.lit(0).alias("a"), F.col("starts").alias("b"))).alias("ranges"))
+    runs = []
+    for size in LEVELS:
+        size = min(size, width)
+        cut = map_slices(todo.join(slices.select("digest", "anchor", "body"), "digest").select("digest", "anchor", "body", "ranges"),
+                         lambda part, size=size: _blocks(part, size, width),
+                         "digest binary, a int, b int, cx bigint, cy bigint, wx bigint, wy bigint", "body", limit=1 << 18)
+        cut = written(cut, "blocks")
+        often = written(cut.groupBy("cx", "cy").agg(F.count("*").alias("n")).where("n > 1").select("cx", "cy"), "block-cores")
+        left = written(cut.join(often, ["cx", "cy"]).select("digest", "a", "b", "wx", "wy"), "blocks-left")
+        whole = written(left.groupBy("wx", "wy").agg(F.count("*").alias("n"), F.min(F.struct("digest", "a")).alias("one")).where("n > 1").select("wx", "wy", "one"), "blocks-whole")
+        left = left.join(whole, ["wx", "wy"], "left")
+        runs.append(left.where("one is not null").select("digest", F.struct("a", "b").alias("run")))
+        on = left.where(F.col("one").isNull() | (F.struct("digest", "a") == F.col("one")))
+        todo = written(on.groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("ranges")).select(
+            "digest", F.array_sort("ranges").alias("ranges")), "blocks-on")
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out.groupBy("digest").agg(F.collect_list("run").alias("runs"))
+
+
 def repeated_runs(rows: DataFrame, width: int) -> DataFrame:
     """``key`` and ``runs`` (array of [a, b): windows starting there repeat) of the texts in
     ``rows`` (``id``, ``key``, ``body``); ``runs`` is null where all of a repeated text repeats."""
@@ -179,22 +246,7 @@ def repeated_runs(rows: DataFrame, width: int) -> DataFrame:
     found = cold.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(
         lambda b: _sort_tasks(b, width), "digest binary, runs array<struct<a:int,b:int>>")
 
-    def hashes(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"x": [], "y": [], "digest": [], "at": []}
-        for body, digest, n in zip(part.column("body").to_pylist(), part.column("digest").to_pylist(), part.column("starts").to_pylist()):
-            buf = np.frombuffer(body, np.uint8)
-            out["x"] += _rolling(buf, width).view(np.int64).tolist()
-            out["y"] += _rolling(buf, width, mix(_BYTE + np.uint64(1))).view(np.int64).tolist()
-            out["digest"] += [digest] * n
-            out["at"] += range(n)
-        return out
-
-    windows = map_slices(distinct.join(hot, "anchor", "left_semi").select("body", "digest", "starts"), hashes,
-                         "x bigint, y bigint, digest binary, at int", "body", limit=1 << 16)
-    windows = written(windows, "windows")
-    many = windows.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-    hot_found = windows.join(many, ["x", "y"], "left_semi").groupBy("digest").agg(
-        F.transform(F.array_sort(F.collect_list("at")), lambda a: F.struct(a.alias("a"), (a + 1).alias("b"))).alias("runs"))
+    hot_found = _hot_runs(distinct.join(hot, "anchor", "left_semi").select("digest", "anchor", "body", "starts"), width)
     whole = distinct.where("times > 1").join(hot, "anchor", "left_semi").select(
         "digest", F.array(F.struct(F.lit(0).alias("a"), F.col("starts").alias("b"))).alias("runs"))
     runs = written(found.unionByName(hot_found).unionByName(whole), "runs")
