@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scorelab.llm.arrow import map_slices
 from scorelab.llm.shingles import _BYTE, _powers, mix
@@ -258,28 +259,19 @@ def repeated_runs(rows: DataFrame, width: int) -> DataFrame:
         twice.withColumn("runs", F.lit(None).cast("array<struct<a:int,b:int>>"))).withColumn("found", F.lit(True))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200,
-                   keep: tuple[str, ...] = ("doc_id",), with_text: bool = True) -> DataFrame:
-    """Every row of ``df`` without the bytes that a repeated string of ``width`` bytes covers.
-
-    Texts are UTF-8 bytes (null: empty); strings do not cross rows; overlaps count; all
-    strings are judged on the input. Returns ``keep``, ``n_bytes``, ``n_removed``,
-    ``n_spans`` (maximal removed runs), ``kept_sha256`` and, if ``with_text``, ``kept``
-    (binary). Repeated rows repeat each other; texts shorter than ``width`` lose nothing;
-    null ids are rows like others; an empty table gives an empty result. Columns of ``df``
-    outside ``keep`` are left out."""
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("body"))
-    rows = rows.withColumn("key", F.unhex(F.md5("body")))
-    runs = repeated_runs(rows.select("id", "key", "body"), width)
+def _removed(df: DataFrame, id_col: str, text_col: str, width: int, keep: list[str], want: str) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with ``keep`` as ``_k0``, ``_k1`` ... and what the removal gives; ``want``: "kept" (bytes) or "text"."""
+    body = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), body.alias("body"))
+    runs = repeated_runs(rows.withColumn("key", F.unhex(F.md5("body"))), width)
     names = {f"_k{i}": c for i, c in enumerate(dict.fromkeys(keep))}
-    src = df.select(*[F.col(f"`{c}`").alias(a) for a, c in names.items()],
-                    F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("_body"))
+    src = df.select(*[F.col(f"`{c}`").alias(a) for a, c in names.items()], body.alias("_body"), F.col(f"`{text_col}`").isNull().alias("_null"))
     src = src.withColumn("key", F.unhex(F.md5("_body"))).join(runs, "key", "left").drop("key")
-    kinds = {f.name: f.dataType.simpleString() for f in src.schema if f.name in names}
+    fields = [f for f in src.schema if f.name in names]
 
     def cut(part: pa.RecordBatch) -> dict:
-        out = {a: part.column(a) for a in kinds} | {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for body, found, runs in zip(part.column("_body").to_pylist(), part.column("found").to_pylist(), part.column("runs").to_pylist()):
+        out = {f.name: part.column(f.name) for f in fields} | {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text")}
+        for body, null, found, runs in zip(*(part.column(c).to_pylist() for c in ("_body", "_null", "found", "runs"))):
             spans: list[list[int]] = []
             if found and runs is None:
                 spans = [[0, len(body)]]
@@ -295,11 +287,41 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kept.append(body[at:])
             left = b"".join(kept)
             for c, x in (("n_bytes", len(body)), ("n_removed", len(body) - len(left)), ("n_spans", len(spans)),
-                         ("kept_sha256", hashlib.sha256(left).hexdigest()), ("kept", left)):
+                         ("kept_sha256", hashlib.sha256(left).hexdigest()), ("kept", left if want == "kept" else None),
+                         ("text", left.decode("utf-8", "ignore") if want == "text" and not null else None)):
                 out[c].append(x)
         return out
 
-    schema = ", ".join(f"`{a}` {k}" for a, k in kinds.items()) + ", n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    schema += ", kept binary" if with_text else ""
-    done = map_slices(src, cut, schema, "_body")
-    return done.select(*[F.col(a).alias(c) for a, c in names.items()], *[c for c in done.columns if c not in names])
+    schema = StructType([*fields, *StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, text string")])
+    return map_slices(src, cut, schema, "_body"), names
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 200,
+                   keep: tuple[str, ...] = ("doc_id",), with_text: bool = True) -> DataFrame:
+    """Every row of ``df`` without the bytes that a repeated string of ``width`` bytes covers.
+
+    Texts are UTF-8 bytes (null: empty); strings do not cross rows; overlaps count; all
+    strings are judged on the input. Returns ``keep``, ``n_bytes``, ``n_removed``,
+    ``n_spans`` (maximal removed runs), ``kept_sha256`` and, if ``with_text``, ``kept``
+    (binary). Repeated rows repeat each other; texts shorter than ``width`` lose nothing;
+    null ids are rows like others; an empty table gives an empty result. Columns of ``df``
+    outside ``keep`` are left out."""
+    done, names = _removed(df, id_col, text_col, width, list(keep), "kept" if with_text else "")
+    return done.select(*[F.col(a).alias(c) for a, c in names.items()], "n_bytes", "n_removed", "n_spans", "kept_sha256",
+                       *(["kept"] if with_text else []))
+
+
+def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", width: int = 200) -> DataFrame:
+    """``df`` with its columns, texts without their repeated passages and ``chars_col``, where there
+    is one, the characters of each text that changed. Bytes of a character that is cut in
+    two go with the passage; null texts stay null; no row goes."""
+    names_in = df.columns
+    done, names = _removed(df, id_col, text_col, width, [c for c in names_in if c != text_col], "text")
+    alias = {c: a for a, c in names.items()}
+    out = []
+    for c in names_in:
+        col = F.col("text") if c == text_col else F.col(alias[c])
+        if c == chars_col:
+            col = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(col).cast(df.schema[c].dataType)
+        out.append(col.alias(c))
+    return done.select(*out)
