@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelab.functions.scale import nan_to_null
-from scorelab.session import materialize
+from scorelab.session import broadcast_if_small, materialize
 from scorelab.operators.positions import (DEFAULT_BUCKETS, _keys, cumulative_counts, quantiles, quantiles_from,
                                           value_counts)
 
@@ -34,7 +34,7 @@ def box_stats(df: DataFrame, keys="model", value: str = "overall_score", whis: f
         q = quantiles_from(c, ks, value, (0.25, 0.5, 0.75), ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumn("_lo", F.col("q1") - F.lit(whis) * iqr).withColumn("_hi", F.col("q3") + F.lit(whis) * iqr)
-    j = counts.join(q, ks, "inner")
+    j = counts.join(broadcast_if_small(q), ks, "inner")
     v, w = F.col(value), F.col("_cnt")
     d = v - F.col("median")  # moments around the median (shifted for stability)
     g = j.groupBy(*ks).agg(
@@ -65,7 +65,7 @@ def box_outliers(df: DataFrame, keys="model", value: str = "overall_score", whis
     iqr = F.col("q3") - F.col("q1")
     fences = q.select(*ks, (F.col("q1") - F.lit(whis) * iqr).alias("_lo"), (F.col("q3") + F.lit(whis) * iqr).alias("_hi"))
     rows = df.select(*ks, *carry, nan_to_null(F.col(value)).cast("double").alias(value))
-    j = rows.join(fences, ks, "inner")
+    j = rows.join(broadcast_if_small(fences), ks, "inner")   # with few groups the rows stay where they are
     return j.where((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).drop("_lo", "_hi")
 
 
@@ -78,18 +78,17 @@ def violin_kde(df: DataFrame, keys="model", value: str = "overall_score", points
     row get NULL density.
     """
     ks = _keys(keys)
-    vc = value_counts(df, ks, value)
+    vc = materialize(value_counts(df, ks, value))
     v, c = F.col(value), F.col("_cnt")
-    st = vc.groupBy(*ks).agg(
-        F.sum(c).alias("n"),
-        F.min(v).alias("vmin"),
-        F.max(v).alias("vmax"),
-        F.sum(c * v).alias("_s1"),
-        F.sum(c * v * v).alias("_s2"),
-    )
+    st = vc.groupBy(*ks).agg(F.sum(c).alias("n"), F.min(v).alias("vmin"), F.max(v).alias("vmax"))
+    # moments around the smallest value, so that large values with a small spread keep their digits
+    d = v - F.col("vmin")
+    st = broadcast_if_small(st)
+    moments = vc.join(st, ks, "inner").groupBy(*ks).agg(
+        F.first("n").alias("n"), F.first("vmin").alias("vmin"), F.first("vmax").alias("vmax"), F.sum(c * d).alias("_s1"), F.sum(c * d * d).alias("_s2"))
     nd = F.col("n").cast("double")
     var = F.try_divide(F.col("_s2") - F.col("_s1") * F.col("_s1") / nd, nd - F.lit(1.0))
-    st = st.withColumn("h", F.sqrt(F.greatest(var, F.lit(0.0))) * F.pow(nd, F.lit(-0.2))).drop("_s1", "_s2")
+    st = broadcast_if_small(moments.withColumn("h", F.sqrt(F.greatest(var, F.lit(0.0))) * F.pow(nd, F.lit(-0.2))).drop("_s1", "_s2"))
     j = vc.join(st, ks, "inner").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     step = (F.col("vmax") - F.col("vmin")) / F.lit(float(points - 1))
     x = F.when(F.col("point") == F.lit(points - 1), F.col("vmax")).otherwise(F.col("vmin") + F.col("point") * step)

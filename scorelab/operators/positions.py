@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelab.functions.scale import nan_to_null
-from scorelab.session import materialize
+from scorelab.session import broadcast_if_small, materialize
 
 DEFAULT_BUCKETS = 256
 SAMPLE_PER_BUCKET = 16
+#: Up to so many (group, range) offsets (about 50 bytes each: 10 MB) are broadcast.
+BROADCAST_OFFSETS = 200_000
 
 
 def _keys(keys):
@@ -59,7 +61,7 @@ def split_points(counts: DataFrame, keys, value: str, buckets: int = DEFAULT_BUC
     function of the data (a retried task or a recomputed branch gets the same
     splits) and holds about ``per_bucket * buckets`` values per group."""
     ks = _keys(keys)
-    stats = counts.groupBy(*ks).agg(F.sum("_cnt").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    stats = broadcast_if_small(counts.groupBy(*ks).agg(F.sum("_cnt").alias("_n"), F.count(F.lit(1)).alias("_d")))
     if buckets <= 1:
         return stats.withColumn("_splits", F.lit(None).cast("array<double>"))
     j = counts.join(stats, ks, "inner") if ks else counts.crossJoin(F.broadcast(stats))
@@ -83,11 +85,12 @@ def _bucket_of(splits, v, buckets: int):
     then count inside the next block (about 31 comparisons instead of buckets - 1)."""
     n_blocks = (buckets - 1) // BLOCK
     if n_blocks < 2:
-        return F.coalesce(F.size(F.filter(splits, lambda s: s < v)), F.lit(0))
+        return F.coalesce(F.greatest(F.size(F.filter(splits, lambda s: s < v)), F.lit(0)), F.lit(0))
     block_last = F.transform(F.sequence(F.lit(1), F.lit(n_blocks)), lambda k: F.element_at(splits, k * BLOCK))
     full = F.size(F.filter(block_last, lambda s: s < v))
     inside = F.size(F.filter(F.slice(splits, full * BLOCK + 1, BLOCK), lambda s: s < v))
-    return F.when(splits.isNull(), F.lit(0)).otherwise(full * BLOCK + inside)
+    # never null, so that a later join on the range does not evaluate it once more as a filter
+    return F.coalesce(full * BLOCK + inside, F.lit(0))
 
 
 def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAULT_BUCKETS,
@@ -98,8 +101,8 @@ def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAUL
     ks = _keys(keys)
     if checkpoint:
         counts = materialize(counts)  # read by the split, bucket-total and window branches
-    per_group = split_points(counts, ks, value, buckets).drop("_d")
-    # one row per group; a global order (no keys) joins a single-row aggregate
+    # one row per group, computed once: with few groups the values of a hot one are not shuffled to join it
+    per_group = broadcast_if_small(split_points(counts, ks, value, buckets).drop("_d"))
     c = counts.join(per_group, ks, "inner") if ks else counts.crossJoin(F.broadcast(per_group))
     c = c.withColumn("_b", _bucket_of(F.col("_splits"), F.col(value), buckets)).drop("_splits")
     w_in = Window.partitionBy(*ks, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +110,7 @@ def cumulative_counts(counts: DataFrame, keys, value: str, buckets: int = DEFAUL
     tot = c.groupBy(*ks, "_b").agg(F.sum("_cnt").alias("_bt"))
     w_off = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(w_off), F.lit(0))).drop("_bt")
-    c = c.join(tot, ks + ["_b"], "inner")
+    c = c.join(broadcast_if_small(tot, BROADCAST_OFFSETS), ks + ["_b"], "inner")
     return c.withColumn("_before", (F.col("_off") + F.col("_in")).cast("bigint")).drop("_off", "_in", "_b")
 
 

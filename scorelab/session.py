@@ -47,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="scorelab-ckpt-")
     sc.setCheckpointDir(configured)
@@ -66,8 +66,18 @@ def materialize(df):
     Used where a small intermediate (e.g. distinct values with counts) feeds several
     branches of one plan: the branches differ (join-key filters are inferred on some),
     so they cannot share an exchange and would each recompute the expensive input."""
-    try:
-        ensure_checkpoint_dir(df.sparkSession)
-    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): the server owns checkpoints
-        pass
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Up to so many rows, a table of one row per group is broadcast (2 kB a row at most: 4 MB).
+BROADCAST_ROWS = 2000
+
+
+def broadcast_if_small(df, rows: int = BROADCAST_ROWS):
+    """Cut the lineage of a small table and broadcast it if it has at most ``rows`` rows; a
+    larger one is returned for a plain join. The rows are counted, not estimated."""
+    from pyspark.sql import functions as F
+
+    df = materialize(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
