@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.functions.poe import overall_score
-from scorelab.functions.scale import gate, scale_cc, scale_efficiency, scale_lint, scale_loc
+from scorelab.operators.scoring import score_measurements
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,32 +39,6 @@ def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def score_measurements(raw: DataFrame, zero_policy: str = "drop") -> DataFrame:
-    """Scale the raw tool outputs and add the gated product-of-experts score."""
-    scored = raw.select(
-        "model",
-        "task_id",
-        "passed",
-        scale_cc("raw_cc_avg").alias("avg_cyclomatic_complexity"),
-        scale_cc("raw_cc_max").alias("max_cyclomatic_complexity"),
-        scale_lint("raw_style").alias("style_score"),
-        scale_efficiency("raw_seconds").alias("efficiency_score"),
-        scale_loc("loc").alias("loc_score"),
-        gate("passed").alias("functional_correctness"),
-    )
-    return scored.withColumn(
-        "overall_score",
-        overall_score(
-            "functional_correctness",
-            "avg_cyclomatic_complexity",
-            "style_score",
-            "efficiency_score",
-            "loc_score",
-            zero_policy=zero_policy,
-        ),
-    )
-
-
 def measurements(spark: SparkSession, sf_dir: str, zero_policy: str = "drop") -> DataFrame:
     """L: scored results, one row per (model, task)."""
     return score_measurements(raw_measurements(spark, sf_dir), zero_policy)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelab.plans import relations as R
 from scorelab.plans.catalog import register, rounded
+from scorelab.session import scratch_path
 from scorelab.streaming import stream as S
 
 
@@ -48,14 +49,17 @@ def stream_means(spark, sf_dir):
     return rounded(spark.read.parquet(out))
 
 
-@register("stream_chunks", f"""
+_CHUNKS_SQL = f"""
 WITH c AS ({R.ORACLE_C}),
 fd AS (SELECT request_id, min(seq) FILTER (WHERE done) AS first_done FROM c GROUP BY request_id)
 SELECT c.request_id, string_agg(c.response, '' ORDER BY c.seq) AS response, count(*) AS n_chunks, true AS done
 FROM c JOIN fd USING (request_id)
 WHERE fd.first_done IS NOT NULL AND c.seq <= fd.first_done
 GROUP BY c.request_id
-HAVING count(DISTINCT c.seq) = max(fd.first_done) + 1 AND min(c.seq) = 0""")
+HAVING count(DISTINCT c.seq) = max(fd.first_done) + 1 AND min(c.seq) = 0"""
+
+
+@register("stream_chunks", _CHUNKS_SQL)
 def stream_chunks(spark, sf_dir):
     """Responses reassembled from arriving chunks by a stateful operator."""
     cv = _stream_table(spark, sf_dir, "conversations")
@@ -65,3 +69,16 @@ def stream_chunks(spark, sf_dir):
     )
     out = S.run_available(spark, S.assemble_stream(chunks), "stream_chunks")
     return spark.read.parquet(out)
+
+
+@register("stream_chunks_replayed", _CHUNKS_SQL)
+def stream_chunks_replayed(spark, sf_dir):
+    """R3 with chunks out of order, twice, and replayed after their response was emitted."""
+    src = scratch_path(spark, "chunk-files")
+    chunks = R.chunks(spark, sf_dir)
+    half = F.pmod(F.xxhash64("request_id", "seq"), F.lit(2))
+    chunks.where(half == 1).write.json(src)
+    chunks.where(half == 0).unionByName(chunks.where(half == 1)).write.mode("append").json(src)
+    chunks.write.mode("append").json(src)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 8).json(src)
+    return spark.read.parquet(S.run_available(spark, S.assemble_stream(stream), "stream_chunks_replayed"))

@@ -43,11 +43,43 @@ def test_chunks_out_of_order_and_duplicated(spark):
     got = {r["request_id"]: (r["response"], r["n_chunks"], r["done"]) for r in spark.read.parquet(out).collect()}
     # a: 0..2 complete (done at 2), b: 0..2 with a NULL text, c: no done, d: gap before done
     assert got == {"a": ("abc", 3, True), "b": ("xy", 3, True)}
-    batch = {r["request_id"]: r["response"] for r in assemble_responses(spark.read.schema(CHUNK_SCHEMA).json(src)
-                                                                        .dropDuplicates(["request_id", "seq"])).collect()}
+    batch = {r["request_id"]: r["response"] for r in assemble_responses(spark.read.schema(CHUNK_SCHEMA).json(src)).collect()}
     assert batch["a"] == "abc" and batch["b"] == "xy"
 
 
+def test_replays_and_late_chunks_are_emitted_once(spark):
+    src = local_scratch(spark, "chunks-replay")
+    os.makedirs(src)
+    one = [("a", 0, "x", False), ("a", 1, "z", True)]
+    for i, part in enumerate([one, one, [("a", 1, "late", True)], [("b", 0, "q", True)] + one]):
+        with open(os.path.join(src, f"part-{i}.json"), "w") as f:
+            for k, s, t, d in part:
+                f.write(json.dumps({"request_id": k, "seq": s, "response": t, "done": d}) + "\n")
+        os.utime(f.name, (1_700_000_000 + 60 * i,) * 2)
+    stream = spark.readStream.schema(CHUNK_SCHEMA).option("maxFilesPerTrigger", 1).json(src)
+    out = spark.read.parquet(S.run_available(spark, S.assemble_stream(stream), "t-replay")).collect()
+    assert sorted((r.request_id, r.response, r.n_chunks, r.done) for r in out) == [("a", "xz", 2, True), ("b", "q", 1, True)]
+    # copies that differ: the smallest text, in batch too
+    batch = assemble_responses(spark.read.schema(CHUNK_SCHEMA).json(src)).where("request_id = 'a'").first()
+    assert (batch.response, batch.n_chunks, batch.done) == ("xlate", 2, True)
+
+
+def test_event_time_ends_state(spark):
+    from pyspark.sql import functions as F
+
+    src = local_scratch(spark, "chunks-event-time")
+    os.makedirs(src)
+    for i, part in enumerate([[("a", 0, "x", False, 10)], [("b", 0, "y", True, 5000)], [("c", 0, "z", True, 9000)]]):
+        with open(os.path.join(src, f"part-{i}.json"), "w") as f:
+            for k, s, t, d, sec in part:
+                f.write(json.dumps({"request_id": k, "seq": s, "response": t, "done": d, "sec": sec}) + "\n")
+        os.utime(f.name, (1_700_000_000 + 60 * i,) * 2)     # files arrive in order of their times
+    stream = spark.readStream.schema("request_id string, seq long, response string, done boolean, sec long").option("maxFilesPerTrigger", 1).json(src)
+    stream = stream.withColumn("at", F.timestamp_seconds("sec")).withWatermark("at", "1 second")
+    out = spark.read.parquet(S.run_available(spark, S.assemble_stream(stream, event_time="at", expire_ms=60_000), "t-event")).collect()
+    assert sorted((r.request_id, r.response, r.done) for r in out) == [("a", "x", False), ("b", "y", True), ("c", "z", True)]
+
+
 def test_chunks_timeout_emits_incomplete(spark):
     import time
 
