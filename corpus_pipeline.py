@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scorelab.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
 from scorelab.llm.store import written
@@ -21,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It is fitted on ``labels`` of ``docs`` outside the held-out fold. Rows stay or go by
     their own text, so ties, repeated rows and null ids need nothing; null texts stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.flag(docs, model).where(~F.col("_toxic")).drop("_toxic")
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources (weights 3, 1, 2 in turn, 150% of all words): a row for each copy taken."""
-    return mixing.mix(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mix(docs, with_place=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

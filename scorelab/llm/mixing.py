@@ -100,27 +100,36 @@ def allocate(df: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: i
     Rows with a null source form a source; repeated rows and null ids are rows like others
     (a row's hash covers id and text). An empty table gives an empty result. Other columns
     stay as they are; those named like an added column are replaced."""
-    spark = df.sparkSession
-    added = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
-    rows = df.drop(*added).withColumns({
-        "_h": _key(seed, F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), "mix_size": size_of(f"`{text_col}`")})
+    out = _allocate(df, weights, share, most, id_col, source_col, text_col, blocks, shards, seed)
+    kept = [c for c in df.columns if c not in ADDED]
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], *ADDED)
+
+
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_copies"]
+
+
+def _allocate(df: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source",
+              text_col: str = "text", blocks: int = 1024, shards: int = 64, seed: int = 17) -> DataFrame:
+    """Each row as a struct ``_row``, so that no name of its columns can clash, its hash ``_h`` and the columns ``ADDED``."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{source_col}`").alias("_from"),
+                     _key(seed, F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("_h"), size_of(f"`{text_col}`").alias("mix_size"))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_h"), F.lit(blocks)).cast("int"))
-    narrow = written(rows.select(F.col(f"`{source_col}`").alias("source"), "_h", "_block", F.col("mix_size").alias("size")), "mix-sizes")
+    narrow = written(rows.select(F.col("_from").alias("source"), "_h", "_block", F.col("mix_size").alias("size")), "mix-sizes")
     plan = _plan(narrow, list(weights), share, most, blocks, shards, seed)
     if plan is None:
-        return rows.drop("_h", "_block").withColumns({
-            "mix_source_size": F.lit(0).cast("bigint"), "mix_target": F.lit(0.0), "mix_copies": F.array().cast("array<struct<pass:int,shard:int>>")})
+        return rows.select("_row", "_h", "mix_size", F.lit(0).cast("bigint").alias("mix_source_size"), F.lit(0.0).alias("mix_target"),
+                           F.array().cast("array<struct<pass:int,shard:int>>").alias("mix_copies"))
     plan, n_sources = plan
     if n_sources <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    joined = rows.join(plan, F.col(f"`{source_col}`").eqNullSafe(plan["_source"]), "left")
+    joined = rows.join(plan, F.col("_from").eqNullSafe(plan["_source"]), "left")
     shard = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda p: F.when(
         p <= F.col("_full"), F.struct(p.cast("int").alias("pass"), F.element_at("_shard", p.cast("int") * blocks + F.col("_block") + 1).alias("shard"))))
     # in the last pass, the block at the edge gives only documents up to the edge
     edge = (F.col("_block") == F.col("_edge_block")) & ~F.coalesce(F.col("_h") <= F.col("_edge_h"), F.lit(False))
     copies = F.filter(shard, lambda c: (c["shard"] >= 0) & ~((c["pass"] == F.col("_full")) & F.coalesce(edge, F.lit(False))))
-    return joined.withColumns({"mix_source_size": F.col("_source_size"), "mix_target": F.col("_target"), "mix_copies": copies}).drop(
-        "_h", "_block", "_source", "_full", "_shard", "_edge_block", "_edge_h", "_source_size", "_target")
+    return joined.select("_row", "_h", "mix_size", F.col("_source_size").alias("mix_source_size"), F.col("_target").alias("mix_target"),
+                         copies.alias("mix_copies"))
 
 
 def _plan(narrow: DataFrame, weights, share, most, blocks, shards, seed):
@@ -184,15 +193,16 @@ def _plan(narrow: DataFrame, weights, share, most, blocks, shards, seed):
     return plan, len(table)
 
 
-def mix(df: DataFrame, slices: int = 16, **options) -> DataFrame:
-    """The mix itself: a row for each taken copy, with the columns of ``df`` and ``mix_pass``,
-    ``mix_shard`` and ``mix_key``. Rows are dealt by shard and ``slices`` parts of it and
-    sorted by ``mix_key``, a hash, so each part of a shard is in random order. Options and
-    cases as in ``allocate``."""
-    seed = options.get("seed", 17)
-    out = allocate(df, **options)
-    out = out.withColumn("_c", F.explode("mix_copies")).withColumns({
-        "mix_pass": F.col("_c.pass"), "mix_shard": F.col("_c.shard"),
-        "mix_key": _key(seed + 1, F.col(f"`{options.get('id_col', 'doc_id')}`"), F.col(f"`{options.get('text_col', 'text')}`"), F.col("_c.pass"))})
-    out = out.drop("_c", "mix_copies", "mix_size", "mix_source_size", "mix_target")
-    return out.repartition("mix_shard", F.pmod("mix_key", F.lit(slices))).sortWithinPartitions("mix_shard", "mix_key")
+def mix(df: DataFrame, slices: int = 16, with_place: bool = True, **options) -> DataFrame:
+    """The mix itself: a row for each taken copy, with the columns of ``df`` and, unless
+    ``with_place`` is false, ``mix_pass``, ``mix_shard`` and ``mix_key`` (which replace columns of
+    those names). Rows are dealt by shard and ``slices`` parts of it and sorted by
+    ``mix_key``, a hash, so each part of a shard is in random order. Options and cases as
+    in ``allocate``."""
+    place = ["mix_pass", "mix_shard", "mix_key"]
+    out = _allocate(df, **options).select("_row", "_h", F.explode("mix_copies").alias("_c"))
+    out = out.select("_row", F.col("_c.pass").alias("mix_pass"), F.col("_c.shard").alias("mix_shard"),
+                     _key(options.get("seed", 17) + 1, F.col("_h"), F.col("_c.pass")).alias("mix_key"))
+    out = out.repartition("mix_shard", F.pmod("mix_key", F.lit(slices))).sortWithinPartitions("mix_shard", "mix_key")
+    kept = [c for c in df.columns if not with_place or c not in place]
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], *(place if with_place else []))

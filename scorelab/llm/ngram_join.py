@@ -144,15 +144,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     """``df`` with one row of each near-duplicate class: the one with the smallest id, ties by a
     hash of the text; of repeated rows any one, as they are equal in id and text. Rows
     without a word all stay. Columns and cases as in ``ngram_classes``."""
-    names = df.columns
-    keyed = df.withColumns({"_id": F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(2**63 - 1)), "_key": F.xxhash64(F.col(f"`{text_col}`"))})
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                      F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(2**63 - 1)).alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_key"))
     sig, per_class = _classes(df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")), **options)
     each = written(sig.groupBy(F.coalesce("id", F.lit(2**63 - 1)).alias("_id"), F.col("key").alias("_key")).agg(
         F.first("c").alias("c"), F.count("*").alias("times")), "rows")
     kept = each.join(per_class.select("c", "keeper"), "c", "left").where(
         "c is null or (keeper.id = _id and keeper.key = _key)").select("_id", "_key", F.when(F.col("c").isNotNull(), F.col("times")).otherwise(1).alias("_times"))
     kept = written(kept, "kept")
-    rows = [f"`{c}`" for c in names]
+    rows = [F.col("_row")[c].alias(c) for c in df.columns]
     once = keyed.join(kept.where("_times = 1").select("_id", "_key"), ["_id", "_key"]).select(*rows)
     more = keyed.join(kept.where("_times > 1").select("_id", "_key"), ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select(*rows)
     return once.unionByName(more)

@@ -222,10 +222,9 @@ def score(docs: DataFrame, model: dict, folds: int = 5, held_out: int = 0, cut:
     return out.withColumnRenamed("_id", id_col)
 
 
-def flag(docs: DataFrame, model: dict, cut: float = 0.5, text_col: str = "text", name: str = "_toxic") -> DataFrame:
-    """``docs`` with all its columns and ``name``: whether the text scores ``cut`` or more."""
-    rows = docs.drop(name)
-    inner = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col(f"`{text_col}`").alias("_text"))
+def drop_toxic(docs: DataFrame, model: dict, cut: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores less than ``cut``."""
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("_text"))
     keep = [i for i, w in enumerate(model["weights"]) if w > 0]
     names, weights, bias = [model["terms"][i] for i in keep], model["weights"][keep], model["bias"]
     edge = float(np.log(cut / (1 - cut)))
@@ -234,5 +233,5 @@ def flag(docs: DataFrame, model: dict, cut: float = 0.5, text_col: str = "text",
         return {"row": part.column("row"), "toxic": [bias + float(weights[state.find(t)].sum()) >= edge for t in part.column("_text").to_pylist()]}
 
     schema = StructType([inner.schema["row"], StructField("toxic", BooleanType())])
-    out = map_slices(inner, run, schema, "_text", setup=lambda: Terms(names))
-    return out.select("row.*", F.col("toxic").alias(name))
+    out = map_slices(inner, run, schema, "_text", setup=lambda: Terms(names)).where(~F.col("toxic"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -88,12 +88,15 @@ def test_odd_rows(spark):
              (401, "", "s1", "en", 0, None), (401, "", "s1", "en", 0, None), (None, "same words in this one row", "s2", "en", 1, None),
              (402, " ".join(rnd.choice(["a", "bc"]) for _ in range(200000)), "s0", "en", 1, None)]
     docs = spark.createDataFrame([(a, b, e, c, d, f) for a, b, c, e, d, f in rows], "doc_id long, text string, lang string, source string, n_chars long, c string")
+    for clash in ("_id", "_key", "_row", "_h", "mix_pass", "mix_size", "toxic", "text_", "kept", "key", "id", "body"):
+        docs = docs.withColumn(clash, F.concat(F.lit("own "), F.lit(clash)))
     sizes = []
     for name, f in cp.STAGES:
         out = f(spark, docs, SF)
         assert f(spark, docs.limit(0), SF).count() == 0
         if name != "bpe":
             assert out.columns == docs.columns
+            assert out.where("_id <> 'own _id' or mix_pass <> 'own mix_pass' or _row <> 'own _row' or kept <> 'own kept'").count() == 0
             docs = out.persist()
         sizes.append(out.count())
         if name == "ngram_join":
