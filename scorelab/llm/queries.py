@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, chat, embed_dedup, line_crf, mixing, ngram_join, quality_rules, suffix_dedup, toxicity, warc
+from scorelab.llm import bpe, chat, embed_dedup, line_crf, mixing, ngram_join, oracles, quality_rules, suffix_dedup, toxicity, warc
 from scorelab.session import scratch_path
 
 QUERIES: dict = {}
@@ -42,7 +42,7 @@ def digest_chat(conversations: DataFrame) -> DataFrame:
                        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
-@query("op4_chat")
+@query("op4_chat", oracles.CHAT)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = F.lit("\\### Assistant: </turn> ok")
@@ -69,17 +69,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_copies")).cast("bigint").alias("taken"))
 
 
-@query("op2_ngram_join")
+@query("op2_ngram_join", oracles.NGRAM_JOIN)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
 
 
-@query("op9_embed_dedup")
+@query("op9_embed_dedup", oracles.EMBED_DEDUP)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.vector_components(table(spark, sf_dir, "embeddings"))
 
 
-@query("op7_warc")
+@query("op7_warc", oracles.WARC)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
