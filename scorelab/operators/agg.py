@@ -44,7 +44,7 @@ def run_mean(df: DataFrame, by: str = "model", score: str = "overall_score") ->
     """A4: mean score per run, 0 when the run is empty."""
     return df.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.avg(score), F.lit(0.0)).alias("poe_mean"),
+        F.coalesce(F.avg(nan_to_null(F.col(score).cast("double"))), F.lit(0.0)).alias("poe_mean"),
     )
 
 
@@ -95,10 +95,12 @@ def distinct_models(df: DataFrame, by: str = "model") -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int = 10, lo: float = 0.0, hi: float = 1.0,
               by: str | None = None) -> DataFrame:
-    """Equal-width histogram on [lo, hi]; the maximum lands in the last bin."""
-    b = F.least(F.width_bucket(F.col(value), F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins))
-    keys = ([by] if by else []) + [b.alias("bucket")]
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    """Equal-width histogram on [lo, hi]; ``hi`` itself lands in the last bin. Values below ``lo``
+    are counted in bucket 0 and values above ``hi`` in bucket bins + 1; NULL and NaN in none."""
+    v = nan_to_null(F.col(value).cast("double"))
+    b = F.when(v == F.lit(float(hi)), F.lit(bins)).otherwise(F.width_bucket(v, F.lit(lo), F.lit(hi), F.lit(bins)))
+    keys = ([by] if by else []) + [b.cast("bigint").alias("bucket")]
+    return df.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def unpivot_metrics(df: DataFrame, metrics, by: str | list = "model") -> DataFrame:
@@ -122,15 +124,15 @@ def task_matrix(df: DataFrame, task: str = "task_id", model: str = "model", mode
     """Task x model score with correctness overlay.
 
     Long form by default; with an explicit ``models`` list the wide pivot is
-    planned without a pass to discover the pivot values.
+    planned without a pass to discover the pivot values. A row of a model outside
+    the list fails the query: it would have no column.
     """
+    s, g = nan_to_null(F.col(score).cast("double")), nan_to_null(F.col(gate_col).cast("double"))
     if models is None:
-        return df.groupBy(task, model).agg(
-            F.avg(score).alias("overall_score"), F.max(gate_col).alias("passed_any")
-        )
-    return df.groupBy(task).pivot(model, list(models)).agg(
-        F.avg(score).alias("score"), F.max(gate_col).alias("passed")
-    )
+        return df.groupBy(task, model).agg(F.avg(s).alias("overall_score"), F.max(g).alias("passed_any"))
+    listed = F.when(F.col(model).isin(list(models)), F.col(model)).otherwise(
+        F.raise_error(F.concat(F.lit("model without a column: "), F.coalesce(F.col(model).cast("string"), F.lit("null")))))
+    return df.withColumn(model, listed).groupBy(task).pivot(model, list(models)).agg(F.avg(s).alias("score"), F.max(g).alias("passed"))
 
 
 def grade_counts(df: DataFrame, score: str = "overall_score", by: str = "model") -> DataFrame:
