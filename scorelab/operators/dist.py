@@ -69,16 +69,25 @@ def box_outliers(df: DataFrame, keys="model", value: str = "overall_score", whis
     return j.where((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).drop("_lo", "_hi")
 
 
-def violin_kde(df: DataFrame, keys="model", value: str = "overall_score", points: int = 100) -> DataFrame:
+def violin_kde(df: DataFrame, keys="model", value: str = "overall_score", points: int = 100,
+               bin_width: float | None = None, centers: bool = False) -> DataFrame:
     """Gaussian KDE at ``points`` evenly spaced points from min to max per group.
 
     Bandwidth by Scott's rule on the sample sd: h = sd * n^(-1/5). Distinct values
     are weighted by their count; the explode to ``points`` rows happens map-side and
-    is reduced by the partial aggregate before any shuffle. Groups with h = 0 or one
-    row get NULL density.
+    is reduced by the partial aggregate before any shuffle. A group with one value has
+    one point, with NULL density. ``bin_width``: values are first rounded to multiples of
+    it, which bounds the distinct values of a group (exact by default). ``centers`` adds
+    the group's ``mean`` and exact ``median`` (of the values as given).
     """
     ks = _keys(keys)
-    vc = materialize(value_counts(df, ks, value))
+    exact = value_counts(df, ks, value)
+    if centers:
+        exact = materialize(exact)
+    vc = exact
+    if bin_width is not None:
+        vc = value_counts(exact.withColumn(value, F.round(F.col(value) / F.lit(float(bin_width))) * F.lit(float(bin_width))), ks, value, weight="_cnt")
+    vc = materialize(vc) if bin_width is not None or not centers else vc
     v, c = F.col(value), F.col("_cnt")
     st = vc.groupBy(*ks).agg(F.sum(c).alias("n"), F.min(v).alias("vmin"), F.max(v).alias("vmax"))
     # moments around the smallest value, so that large values with a small spread keep their digits
@@ -89,7 +98,8 @@ def violin_kde(df: DataFrame, keys="model", value: str = "overall_score", points
     nd = F.col("n").cast("double")
     var = F.try_divide(F.col("_s2") - F.col("_s1") * F.col("_s1") / nd, nd - F.lit(1.0))
     st = broadcast_if_small(moments.withColumn("h", F.sqrt(F.greatest(var, F.lit(0.0))) * F.pow(nd, F.lit(-0.2))).drop("_s1", "_s2"))
-    j = vc.join(st, ks, "inner").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    j = vc.join(st, ks, "inner").withColumn(
+        "point", F.explode(F.when(F.col("vmin") == F.col("vmax"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(points - 1)))))
     step = (F.col("vmax") - F.col("vmin")) / F.lit(float(points - 1))
     x = F.when(F.col("point") == F.lit(points - 1), F.col("vmax")).otherwise(F.col("vmin") + F.col("point") * step)
     j = j.withColumn("x", x)
@@ -97,7 +107,12 @@ def violin_kde(df: DataFrame, keys="model", value: str = "overall_score", points
     k = F.when(F.col("h") > 0, c * F.exp(F.lit(-0.5) * z * z))
     g = j.groupBy(*ks, "point", "x").agg(F.sum(k).alias("_k"), F.first("n").alias("n"), F.first("h").alias("h"))
     dens = F.try_divide(F.col("_k"), F.col("n") * F.col("h") * F.lit(math.sqrt(2.0 * math.pi)))
-    return g.select(*ks, "point", "x", dens.alias("density"))
+    out = g.select(*ks, "point", "x", dens.alias("density"))
+    if centers:
+        median = quantiles_from(cumulative_counts(exact, ks, value, checkpoint=False), ks, value, (0.5,), ["median"]).drop("n")
+        mean = exact.groupBy(*ks).agg((F.sum(c * v) / F.sum(c)).alias("mean"))
+        out = out.join(broadcast_if_small(mean.join(median, ks)), ks)
+    return out
 
 
 def difficulty_bands(df: DataFrame, task: str = "task_id", gate_col: str = "functional_correctness",

@@ -273,3 +273,11 @@ WITH l AS ({L}), bands AS (
 def difficulty_dist(spark, sf_dir):
     """Overall-score box statistics by task-difficulty band."""
     return rounded(dist.difficulty_dist(R.measurements(spark, sf_dir)))
+
+
+@register("violin_centers", """SELECT event_type AS model, 100 AS n_points, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median
+FROM (SELECT event_type, value FROM events WHERE value IS NOT NULL) GROUP BY event_type""")
+def violin_centers(spark, sf_dir):
+    """Mean and median of each violin, with the number of its points."""
+    v = dist.violin_kde(R.runs(spark, sf_dir), "model", "value", centers=True)
+    return rounded(v.groupBy("model").agg(F.count("*").cast("int").alias("n_points"), F.first("mean").alias("mean"), F.first("median").alias("median")))

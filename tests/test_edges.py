@@ -42,7 +42,7 @@ def test_one_model_box_and_kde(spark):
     b = dist.box_stats(df).first()
     assert (b["q1"], b["median"], b["q3"], b["whislo"], b["whishi"], b["n_outliers"]) == (0.5, 0.5, 0.5, 0.5, 0.5, 0)
     k = dist.violin_kde(df).collect()
-    assert len(k) == 100 and all(r["density"] is None for r in k)
+    assert len(k) == 1 and all(r["density"] is None for r in k)
 
 
 def test_list_avg_max(spark):
@@ -68,3 +68,14 @@ def test_rule_score_floors(spark):
     assert got[0] == 0.05  # no logical line
     assert got[1] == pytest.approx(10 - 10 * (0.5 + 1.0) / 1)
     assert got[2] == 10.0
+
+
+def test_violin_of_large_and_constant_values(spark):
+    rows = [("a", 1e9 + x) for x in (0.1, 0.2, 0.3, 0.4)] + [("b", 7.0)] * 3
+    df = spark.createDataFrame(rows, "model string, overall_score double")
+    got = dist.violin_kde(df, points=5, centers=True).collect()
+    a, b = [r for r in got if r.model == "a"], [r for r in got if r.model == "b"]
+    assert len(a) == 5 and all(r.density > 0 for r in a) and a[0].median == pytest.approx(1e9 + 0.25) and a[0].mean == pytest.approx(1e9 + 0.25)
+    assert [(r.point, r.x, r.density, r.median) for r in b] == [(0, 7.0, None, 7.0)]
+    binned = dist.violin_kde(df.where("model = 'a'"), points=5, bin_width=0.5).collect()
+    assert len(binned) == 5 and all(r.density > 0 for r in binned)
