@@ -14,7 +14,7 @@ from scorelab.operators import agg, dist, norm, rank
 from scorelab.sources.io import read_summaries
 
 SUMMARY_GLOB = os.path.join(GOLDEN_DIR, "summary", "*_summary.csv")
-HAVE_ROWS = bool(glob.glob(SUMMARY_GLOB))
+HAVE_ROWS = bool(GOLDEN_DIR and glob.glob(SUMMARY_GLOB))
 
 # Per-model means, score distributions, matrices, deltas and counts of the published results.
 
