@@ -213,7 +213,9 @@ def _classes(rows: DataFrame, width: int = 5, threshold: float = 0.8, recall: fl
     roots = components(found.where("to is not null"), "c", "to")
     rep = classes.select("c", "copies", "rep", "at")
     rooted = rep.join(roots, rep.c == roots.node, "left").select("c", "copies", "rep", "at", F.coalesce("root", "c").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("at").alias("keeper"))
+    # tables of their own, so that the joins can split the rows of a large class
+    rooted = written(rooted, "rooted")
+    lowest = written(rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("at").alias("keeper")), "lowest")
     n_links = found.where("to is null").groupBy("c").agg(F.sum("links").alias("links"))
     per_class = written(rooted.join(lowest, "root").join(n_links, "c", "left").select(
         "c", "class_id", "keeper", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "per-class")
