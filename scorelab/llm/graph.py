@@ -22,10 +22,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     state = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are tables of their own, so that the join on a hub can be split
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = written(down, "edges")
+        low = written(down.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = (down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         e = written(small, "edges")
