@@ -134,10 +134,12 @@ def vector_components(df: DataFrame, id_col: str = "vec_id", vector_col: str = "
     roots = components(found.where("to is not null"), "c", "to")
     rep = classes.select("c", "copies", "rep")
     rooted = rep.join(roots, rep.c == roots.node, "left").select("c", "copies", "rep", F.coalesce("root", "c").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # tables of their own, so that the joins can split the rows of a large component
+    rooted = written(rooted, "rooted")
+    lowest = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
     n_links = found.where("to is null").groupBy("c").agg(F.sum("links").alias("links"))
-    per_class = rooted.join(lowest, "root").join(n_links, "c", "left").select(
-        "c", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = written(rooted.join(lowest, "root").join(n_links, "c", "left").select(
+        "c", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "per-class")
     out = sig.select("id", "c").join(per_class, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
