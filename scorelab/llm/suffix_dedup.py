@@ -31,7 +31,7 @@ from scorelab.llm.suffixes import repeated_windows
 
 GRAM = 48          # bytes of an anchor string (less where the width is small)
 RUN = 2048         # most windows in a slice
-HOT = 500          # most different slices of an anchor sorted in one task
+HOT = 1000         # most different slices of an anchor sorted in one task: at most 2.3 MB
 LEVELS = (32, 8, 1)   # windows in a block, for anchors with more
 CHUNK = 1 << 19    # bytes of slices sorted together
 SLICE = 1 << 20
@@ -242,7 +242,7 @@ def repeated_runs(rows: DataFrame, width: int) -> DataFrame:
     distinct = written(cut.groupBy("digest").agg(F.count("*").alias("times"), F.first("anchor").alias("anchor"),
                                                  F.first("starts").alias("starts"), F.first("body").alias("body")), "distinct")
     counts = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") > HOT).select("anchor")
+    hot = written(counts.where(F.col("n") > HOT).select("anchor"), "hot-anchors")
     cold = distinct.join(hot, "anchor", "left_anti").select("anchor", "digest", "times", "starts", "body")
     found = cold.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(
         lambda b: _sort_tasks(b, width), "digest binary, runs array<struct<a:int,b:int>>")
