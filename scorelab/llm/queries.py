@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, chat, embed_dedup, line_crf, mixing, ngram_join, oracles, quality_rules, suffix_dedup, toxicity, warc
+from scorelab.llm import bpe, chat, embed_dedup, line_crf, mixing, ngram_join, oracles, quality_rules, suffix_dedup, token_files, toxicity, warc
 from scorelab.session import scratch_path
 
 QUERIES: dict = {}
@@ -95,3 +95,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.score(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.checksums(token_files.read_tokens(spark, path))
