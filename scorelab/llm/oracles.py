@@ -52,3 +52,18 @@ links AS (SELECT x.a, y.a AS b FROM good x JOIN good y ON x.a <> y.a AND len(x.e
 {_components("v", "links")}
 SELECT v.a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = v.a) AS n_links, comp.low AS component_id, comp.low = v.a AS kept
 FROM v JOIN comp ON comp.a = v.a"""
+
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id AS i, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.i AS anchor_id, a.label = r.label AS same, r.i AS i,
+        CAST(list_sum(list_transform(list_zip(a.e, r.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v a JOIN v r ON a.i % 100 = 0 AND a.i <> r.i AND len(a.e) = len(r.e)),
+p AS (SELECT anchor_id, i AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, i) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, i) AS rank,
+       i AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""

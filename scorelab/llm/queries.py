@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, chat, embed_dedup, line_crf, mixing, ngram_join, oracles, quality_rules, suffix_dedup, token_files, toxicity, warc
+from scorelab.llm import bpe, chat, embed_dedup, hard_negatives, line_crf, mixing, ngram_join, oracles, quality_rules, suffix_dedup, token_files, toxicity, warc
 from scorelab.session import scratch_path
 
 QUERIES: dict = {}
@@ -102,3 +102,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+@query("op11_hard_negatives", oracles.HARD_NEGATIVES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(rows, vec_id % 100 == 0)
