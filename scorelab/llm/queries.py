@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelab.llm import bpe, chat, embed_dedup, hard_negatives, line_crf, mixing, ngram_join, oracles, quality_rules, suffix_dedup, token_files, toxicity, warc
+from scorelab.llm import bpe, chat, conv_trie, embed_dedup, hard_negatives, line_crf, mixing, ngram_join, oracles, quality_rules, suffix_dedup, token_files, toxicity, warc
 from scorelab.session import scratch_path
 
 QUERIES: dict = {}
@@ -109,3 +109,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec_id, label = F.col("vec_id"), F.col("label")
     rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
     return hard_negatives.hard_negatives(rows, vec_id % 100 == 0)
+
+
+@query("op13_conv_trie", oracles.CONV_TRIE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.prefix_trie(table(spark, sf_dir, "conversations"), lambda c: c - c % 100,
+                                 lambda c: F.crc32(c.cast("string").cast("binary")) % 6, most_head=5)
