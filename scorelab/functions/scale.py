@@ -22,9 +22,11 @@ def let(value, body) -> Column:
 
 
 def nan_to_null(c) -> Column:
-    """NaN -> NULL (Spark's avg/max/comparisons treat NaN as a value)."""
-    c = _col(c)
-    return F.nullif(c, F.lit(float("nan")))
+    """NaN -> NULL (Spark's avg/max/comparisons treat NaN as a value), as a double.
+
+    ``nanvl`` holds its argument once; ``nullif`` and ``when`` would hold it twice, which doubles
+    an expression with each layer of it."""
+    return F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
 
 
 def _number(c) -> Column:

@@ -97,14 +97,6 @@ def first_json_span(s) -> Column:
                lambda st: F.when((start > 0) & st["done"], F.substring(tail, 1, st["len"])))
 
 
-def json_error(s) -> Column:
-    """Why T1/T2 failed: no_object, unclosed, invalid_json; NULL when fine."""
-    x = _col(s)
-    return F.when(x.isNull() | (F.instr(x, "{") == 0), F.lit("no_object")).otherwise(
-        let(first_json_span(x), lambda span: F.when(span.isNull(), F.lit("unclosed")).when(
-            F.try_parse_json(span).isNull(), F.lit("invalid_json"))))
-
-
 def code_field(v) -> Column:
     """The ``code`` string of a parsed object, else ``completion`` when ``code`` is
     missing or JSON null; NULL unless the chosen value is a JSON string."""

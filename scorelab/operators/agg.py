@@ -96,11 +96,17 @@ def distinct_models(df: DataFrame, by: str = "model") -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int = 10, lo: float = 0.0, hi: float = 1.0,
               by: str | None = None) -> DataFrame:
     """Equal-width histogram on [lo, hi]; ``hi`` itself lands in the last bin. Values below ``lo``
-    are counted in bucket 0 and values above ``hi`` in bucket bins + 1; NULL and NaN in none."""
-    v = nan_to_null(F.col(value).cast("double"))
-    b = F.when(v == F.lit(float(hi)), F.lit(bins)).otherwise(F.width_bucket(v, F.lit(lo), F.lit(hi), F.lit(bins)))
-    keys = ([by] if by else []) + [b.cast("bigint").alias("bucket")]
-    return df.where(v.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    are counted in bucket 0 and values above ``hi`` in bucket bins + 1; NULL and NaN in none.
+
+    Missing values are left out by the count and not by a filter, which would be pushed below
+    the projections and evaluate a computed value a second time for each row."""
+    src = df.select(*([by] if by else []), nan_to_null(F.col(value)).alias(value))
+    keys = ([by] if by else []) + [_bucket(F.col(value), bins, lo, hi).alias("bucket")]
+    return src.groupBy(*keys).agg(F.count(value).alias("n")).where(F.col("n") > 0)
+
+
+def _bucket(v, bins: int, lo: float, hi: float):
+    return F.when(v == F.lit(float(hi)), F.lit(bins)).otherwise(F.width_bucket(v, F.lit(lo), F.lit(hi), F.lit(bins))).cast("bigint")
 
 
 def unpivot_metrics(df: DataFrame, metrics, by: str | list = "model") -> DataFrame:

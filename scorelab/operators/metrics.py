@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scorelab.functions.poe import overall_score
 from scorelab.functions.scale import _col, gate, let, scale_cc, scale_efficiency, scale_lint, scale_loc
 from scorelab.functions.text import NONBLANK, split_lines
+from scorelab.session import broadcast_if_small
 
 # Decision keywords counted by the lexical complexity (McCabe-style).
 PY_DECISION_WORDS = ["if", "elif", "for", "while", "except", "with", "assert", "and", "or"]
@@ -93,11 +94,6 @@ def rule_counts(code, rules=None) -> Column:
     return F.aggregate(split_lines(code), init, step)
 
 
-def rule_penalty(code, rules=None) -> Column:
-    """Sum over rules of weight x number of lines matching the rule."""
-    return rule_counts(code, rules)["penalty"]
-
-
 def score_from_counts(rc) -> Column:
     """Lint-score shape from struct(penalty, n_lines); undefined or exactly 0 -> 0.05."""
     raw = F.lit(10.0) - F.lit(10.0) * rc["penalty"] / F.nullif(rc["n_lines"], F.lit(0)).cast("double")
@@ -160,6 +156,28 @@ def unattempted(problems: DataFrame, samples: DataFrame, key: str = "task_id") -
     return problems.join(samples.select(key).distinct(), key, "left_anti")
 
 
+def lookup_tasks(samples: DataFrame, problems: DataFrame, key: str = "task_id", broadcast_rows: int = 2000) -> DataFrame:
+    """Every sample with its problem's columns and ``known`` (its task has a problem).
+
+    Of several problems of one task the smallest row counts, so there is one row for each sample.
+    Up to ``broadcast_rows`` problems are broadcast, after counting; a larger table is joined by a shuffle,
+    whose skewed partitions (hot tasks) adaptive execution splits."""
+    rest = [c for c in problems.columns if c != key]
+    one = problems.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest, F.lit(True).alias("known"))).alias("_p"))
+    one = broadcast_if_small(one.select(key, "_p.*"), broadcast_rows)
+    return samples.join(one, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def lookup_report(samples: DataFrame, problems: DataFrame, key: str = "task_id") -> DataFrame:
+    """Each task with its number of samples and its status: ``matched``, ``unknown`` (samples but no problem) or
+    ``unattempted`` (a problem without samples), all from one join of the counts of each task. A null task is unknown."""
+    counts = samples.groupBy(key).agg(F.count(F.lit(1)).alias("n_samples"))
+    given = problems.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_given", F.lit(True))
+    both = counts.join(given, key, "full")
+    status = F.when(F.col("_given").isNull(), "unknown").when(F.col("n_samples").isNull(), "unattempted").otherwise("matched")
+    return both.select(key, F.coalesce("n_samples", F.lit(0)).cast("bigint").alias("n_samples"), status.alias("status"))
+
+
 def evaluate(samples: DataFrame, verdicts: DataFrame | None = None, runs: DataFrame | None = None,
              code: str = "completion", keys=None, words=None, block_marker: str = PY_BLOCK_MARKER, rules=None,
              zero_policy: str = "drop", syntax_ok: str | None = None, keep_code: bool = False) -> DataFrame:

@@ -43,12 +43,11 @@ def value_counts(df: DataFrame, keys, value: str, weight: str | None = None) ->
     ks = _keys(keys)
     v = nan_to_null(F.col(value)).cast("double")
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    return (
-        df.select(*ks, v.alias(value), w.alias("_w"))
-        .where(F.col(value).isNotNull())
-        .groupBy(*ks, value)
-        .agg(F.sum("_w").alias("_cnt"))
-    )
+    # missing values are left out by their count: a filter on the value would be pushed below
+    # the projections and evaluate a computed value a second time for each row
+    rows = df.select(*ks, v.alias(value), w.alias("_w"))
+    counts = rows.groupBy(*ks, value).agg(F.sum(F.when(F.col(value).isNotNull(), F.col("_w"))).alias("_cnt"))
+    return counts.where(F.col("_cnt").isNotNull())
 
 
 def split_points(counts: DataFrame, keys, value: str, buckets: int = DEFAULT_BUCKETS,

@@ -8,12 +8,13 @@ from scorelab.functions.poe import overall_score
 from scorelab.functions.scale import gate, scale_cc, scale_efficiency, scale_lint, scale_loc
 
 
-def score_measurements(raw: DataFrame, zero_policy: str = "drop") -> DataFrame:
-    """Scale the raw tool outputs and add the gated product-of-experts score."""
+def score_measurements(raw: DataFrame, zero_policy: str = "drop", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scale the raw tool outputs and add the gated product-of-experts score (P1-P8); ``keep``: columns to carry along."""
     scored = raw.select(
         "model",
         "task_id",
         "passed",
+        *keep,
         scale_cc("raw_cc_avg").alias("avg_cyclomatic_complexity"),
         scale_cc("raw_cc_max").alias("max_cyclomatic_complexity"),
         scale_lint("raw_style").alias("style_score"),

@@ -12,6 +12,8 @@ _MODULES = [
     "scorelab.plans.text_queries",
     "scorelab.plans.stream_queries",
     "scorelab.plans.io_queries",
+    "scorelab.plans.sketch_queries",
+    "scorelab.plans.robust_queries",
 ]
 
 

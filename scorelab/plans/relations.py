@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L before scaling: model, task_id, passed and raw tool outputs."""
+def raw_measurements(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
+    """L before scaling: model, task_id, passed and raw tool outputs (and ``more`` columns of lineitem)."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_linenumber").cast("string").alias("model"),
@@ -36,6 +36,7 @@ def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.nullif(F.col("l_tax"), F.lit(0.0)) * F.lit(100)).alias("raw_style"),
         (F.col("l_discount") * F.lit(10)).alias("raw_seconds"),
         F.col("l_quantity").alias("loc"),
+        *more,
     )
 
 
@@ -44,6 +45,11 @@ def measurements(spark: SparkSession, sf_dir: str, zero_policy: str = "drop") ->
     return score_measurements(raw_measurements(spark, sf_dir), zero_policy)
 
 
+def dated_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L with the year of each measurement."""
+    return score_measurements(raw_measurements(spark, sf_dir, F.year("l_shipdate").alias("year")), keep=("year",))
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D: documents as completions; verdict from labels.quality (missing -> not passed)."""
     docs = table(spark, sf_dir, "documents").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scorelab.plans import relations as R
 from scorelab.plans.catalog import register, rounded
 from scorelab.session import scratch_path
+from scorelab.streaming import sink as K
 from scorelab.streaming import stream as S
 
 
@@ -49,6 +50,32 @@ def stream_means(spark, sf_dir):
     return rounded(spark.read.parquet(out))
 
 
+@register("stream_means_updated", f"""SELECT model, count(*) AS n, round(avg(overall_score), 6) AS overall_score,
+       round(avg(functional_correctness), 6) AS pass_rate FROM ({R.ORACLE_L}) GROUP BY model""")
+def stream_means_updated(spark, sf_dir):
+    """R2 in update mode: the table arrives in several files, each micro-batch writes the models that changed
+    to a keyed sink; the first half is folded into a base, and the last batches are delivered again."""
+    src, out = scratch_path(spark, "measurement-files"), scratch_path(spark, "updated-means")
+    raw = R.raw_measurements(spark, sf_dir)
+    raw.repartition(4, "task_id").write.parquet(src)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    means = S.running_means(S.score_stream(stream))
+    sink = K.KeyedSink(spark, out, ["model"], means.schema)
+    seen = []
+
+    def deliver(batch, batch_id):
+        sink.write(batch, batch_id)
+        seen.append(batch_id)
+        if batch_id == 1:
+            sink.compact()
+        for earlier in seen[-2:]:      # a source that delivers at least once: other rows under a number that is written
+            sink.write(batch.limit(1), earlier)
+
+    means.writeStream.option("checkpointLocation", scratch_path(spark, "updated-ckpt")).outputMode("update").foreachBatch(deliver).trigger(
+        availableNow=True).start().awaitTermination()
+    return rounded(sink.read())
+
+
 _CHUNKS_SQL = f"""
 WITH c AS ({R.ORACLE_C}),
 fd AS (SELECT request_id, min(seq) FILTER (WHERE done) AS first_done FROM c GROUP BY request_id)
@@ -82,3 +109,35 @@ def stream_chunks_replayed(spark, sf_dir):
     chunks.write.mode("append").json(src)
     stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 8).json(src)
     return spark.read.parquet(S.run_available(spark, S.assemble_stream(stream), "stream_chunks_replayed"))
+
+
+# Chunk (conv, turn): lost if conv % 5 = 1 and turn = 1; late (it comes after its response has expired) if conv % 5 = 2 and turn = 2.
+_LOST, _LATE = "(request_id % 5 = 1 AND seq = 1)", "(request_id % 5 = 2 AND seq = 2)"
+
+
+@register("stream_chunks_expired", f"""
+WITH c AS (SELECT * FROM ({R.ORACLE_C}) WHERE NOT {_LOST} AND NOT {_LATE}),
+s AS (SELECT request_id, min(seq) FILTER (WHERE done) AS last, count(*) AS n,
+             string_agg(coalesce(response, ''), '' ORDER BY seq) AS whole FROM c GROUP BY request_id),
+u AS (SELECT c.request_id, count(DISTINCT seq) AS k, string_agg(coalesce(response, ''), '' ORDER BY seq) AS response
+      FROM c JOIN s USING (request_id) WHERE seq <= s.last GROUP BY c.request_id)
+SELECT s.request_id, CASE WHEN coalesce(u.k = s.last + 1, false) THEN u.response ELSE s.whole END AS response,
+       CASE WHEN coalesce(u.k = s.last + 1, false) THEN u.k ELSE s.n END AS n_chunks, coalesce(u.k = s.last + 1, false) AS done
+FROM s LEFT JOIN u USING (request_id)""")
+def stream_chunks_expired(spark, sf_dir):
+    """R3 by event time over several files: chunks out of order, some lost, some after their response has
+    expired, all replayed at the end. Complete responses come once; the others as incomplete at expiry."""
+    src = scratch_path(spark, "timed-chunks")
+    chunks = R.chunks(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+    lost, late = F.expr(_LOST), F.expr(_LATE)
+    here = chunks.where(~lost & ~late)
+    later = lambda hours: spark.range(1).select(F.lit(-1).cast("bigint").alias("request_id"), F.lit(0).cast("bigint").alias("seq"),
+                                                F.lit(None).cast("string").alias("response"), F.lit(False).alias("done"),
+                                                F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hours)).alias("at"))
+    half = F.pmod(F.xxhash64("request_id", "seq"), F.lit(2))
+    # one file for each arrival: two halves in any order; time passes; late chunks and replays; time passes
+    for rows in (here.where(half == 1), here.where(half == 0), later(2), later(4), chunks.where(late).unionByName(here), later(6), later(8)):
+        rows.coalesce(1).write.mode("append").json(src)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).json(src).withWatermark("at", "10 minutes")
+    out = S.run_available(spark, S.assemble_stream(stream, event_time="at"), "stream_chunks_expired")
+    return spark.read.parquet(out).where("request_id >= 0")

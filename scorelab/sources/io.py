@@ -4,13 +4,18 @@ inference pass) and derives the model name from the file name in the same scan."
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelab.functions.scale import safe_name
 from scorelab.operators.rank import wide_matrix
-from scorelab.schemas import CHUNK_SCHEMA, PROBLEM_SCHEMA, SAMPLE_SCHEMA, SUMMARY_COLS, SUMMARY_SCHEMA
+from scorelab.schemas import CHUNK_SCHEMA, PROBLEM_SCHEMA, SAMPLE_SCHEMA, SUMMARY_COLS
+from scorelab.session import broadcast_if_small
+from scorelab.sources.quarantine import load_summaries, read_summaries
+
+__all__ = ["counted", "load_summaries", "read_chunks", "read_problems", "read_raw_answers", "read_results", "read_samples", "read_summaries",
+           "write_jsonl", "write_matrix_csv", "write_named", "write_samples", "write_summary_csv"]
 
 
 def _unless_missing(read, empty):
@@ -54,46 +59,6 @@ def read_problems(spark: SparkSession, path: str, partitions: int | None = None)
     return df.repartition(partitions, "task_id") if partitions else df
 
 
-def read_summaries(spark: SparkSession, pattern: str, model_from: str = "file", ignore_corrupt: bool = False) -> DataFrame:
-    """S3 + U1: all summary CSVs of a glob; model = stem with ``_summary`` removed.
-
-    Columns are matched by name: each file's own header says what its cells are, a
-    summary column that a file lacks is NULL and other columns are left out. A first
-    pass finds the distinct headers (lines with a ``task_id`` cell; few rows reach the
-    driver besides the file names, which planning a scan needs anyway), and the files of
-    each header are then read together. A file without such a header fails the read.
-    ``model_from="partition"``: ``pattern`` is a folder written by ``write_summary_csv``
-    and the model comes from its ``model=...`` sub-folders. Malformed cells become NULL.
-    An unreadable file fails the read, or with ``ignore_corrupt`` is left out; no match
-    gives an empty table."""
-    text = _unless_missing(lambda: spark.read.option("ignoreCorruptFiles", ignore_corrupt).option("recursiveFileLookup", True).text(pattern), lambda: None)
-    if text is None:
-        return _empty(spark, SUMMARY_SCHEMA, ["model"])
-    cells = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), ","), lambda c: F.trim(F.translate(c, '"\r', "")))
-    heads = text.select(F.col("_metadata.file_path").alias("path"), cells.alias("head")).where(F.array_contains("head", "task_id"))
-    by_head: dict[tuple, list[str]] = {}
-    found = heads.groupBy("path").agg(F.first("head").alias("head")).collect()
-    for r in found:
-        by_head.setdefault(tuple(r["head"]), []).append(r["path"])
-    paths = {r["path"] for r in found}
-    other = [f for f in text.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path")).distinct().collect() if f["path"] not in paths]
-    if other:
-        raise ValueError(f"no summary header in {other[0]['path']}")
-    out = None
-    for head, files in sorted(by_head.items()):
-        names = [f"c{i}" for i in range(len(head))]
-        raw = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("header", True)
-               .option("enforceSchema", True).option("ignoreCorruptFiles", ignore_corrupt).csv(files))
-        at = {c: n for n, c in reversed(list(zip(names, head)))}
-        cols = [(F.col(at[f.name]).try_cast(f.dataType) if f.name in at else F.lit(None).cast(f.dataType)).alias(f.name) for f in SUMMARY_SCHEMA.fields]
-        name = _file_name() if model_from == "file" else None
-        folder = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/model=([^/]*)/[^/]*$", 1))
-        model = F.replace(_stem(name), F.lit("_summary"), F.lit("")) if name is not None else folder
-        part = raw.select(*cols, model.alias("model"))
-        out = part if out is None else out.unionByName(part)
-    return _empty(spark, SUMMARY_SCHEMA, ["model"]) if out is None else out
-
-
 def read_results(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Scored result JSONL (samples + passed + metric columns, nulls written)."""
     from scorelab.schemas import RESULT_SCHEMA
@@ -124,15 +89,50 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def write_summary_csv(df: DataFrame, path: str, compat: bool = True, mode: str = "overwrite") -> None:
-    """K2 + K4: the nine summary columns in order, one folder per (file-safe) model.
+def write_summary_csv(df: DataFrame, path: str, compat: bool = True, mode: str = "overwrite", max_rows: int = 1_000_000) -> None:
+    """K2 + K4: the nine summary columns in order, one folder and one file for each (file-safe) model.
 
-    ``compat``: booleans spelled True/False."""
+    A model of more than ``max_rows`` rows has as many files as that takes. Its rows are dealt to them in
+    turn, so a hot model is written by several tasks; the sizes come from a count that reads the
+    model column alone. ``compat``: booleans spelled True/False."""
     cols = [F.col(c) for c in SUMMARY_COLS]
     if compat:
         cols[1] = F.initcap(F.col("passed").cast("string")).alias("passed")
-    out = df.select(*cols, safe_name(F.col("model")).alias("model"))
-    out.write.mode(mode).partitionBy("model").option("header", True).csv(path)
+    model = safe_name(F.col("model"))
+    files = df.groupBy(model.alias("_model")).agg(F.ceil(F.count("*") / F.lit(max_rows)).alias("_files"))
+    out = df.select(*cols, model.alias("model"), F.monotonically_increasing_id().alias("_n"))
+    out = out.join(broadcast_if_small(files), F.col("model").eqNullSafe(F.col("_model")))
+    out = out.withColumn("_file", F.pmod("_n", "_files")).repartition("model", "_file")
+    out.select(*SUMMARY_COLS, "model").write.mode(mode).partitionBy("model").option("maxRecordsPerFile", max_rows).option("header", True).csv(path)
+
+
+def write_named(df: DataFrame, path: str, by: str, suffix: str, form: str, **options) -> None:
+    """One file ``<value><suffix>`` in ``path`` for each value of ``by``: written as one file a folder, then
+    given its name by the file system. For values whose rows one task can write."""
+    spark, temporary = df.sparkSession, f"{path.rstrip('/')}/_parts"
+    df.withColumn("_by", F.col(by)).repartition("_by").write.mode("overwrite").partitionBy("_by").options(**options).format(form).save(temporary)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    place = jvm.Path(temporary)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in files.listStatus(place):
+        if folder.isDirectory():
+            value = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().split("=", 1)[1])
+            for i, part in enumerate(p for p in files.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-")):
+                files.rename(part.getPath(), jvm.Path(f"{path.rstrip('/')}/{value}{f'-{i}' if i else ''}{suffix}"))
+
+
+def write_samples(df: DataFrame, path: str) -> None:
+    """Samples as the files that ``read_samples`` scans: ``<model>_samples.jsonl``, null fields written."""
+    write_named(df.select("task_id", "completion", safe_name(F.col("model")).alias("model")), path, "model", "_samples.jsonl", "json", ignoreNullFields=False)
+
+
+def counted(df: DataFrame, model: str = "model", task: str = "task_id", tasks: str = "exact") -> tuple[DataFrame, Observation]:
+    """``df`` and an observation of its rows, models and tasks, filled when ``df`` is written: no pass of its
+    own. ``tasks="exact"`` holds the distinct task ids in memory; ``"sketch"`` estimates their number (a few kB)."""
+    seen = Observation()
+    n_tasks = F.size(F.collect_set(F.col(task))) if tasks == "exact" else F.hll_sketch_estimate(F.hll_sketch_agg(F.col(task)))
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.size(F.collect_set(F.col(model))).cast("bigint").alias("n_models"),
+                      n_tasks.cast("bigint").alias("n_tasks")), seen
 
 
 def write_matrix_csv(long: DataFrame, path: str, value: str = "rho", metrics=None, places: int = 4,

@@ -4,14 +4,15 @@ checks that need the published rows are defined only where those rows are at han
 import glob
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import GOLDEN_DIR
+from conftest import GOLDEN_DIR, local_scratch
 from scorelab.functions.poe import overall_score
 from scorelab.functions.scale import gate
 from scorelab.operators import agg, dist, norm, rank
-from scorelab.sources.io import read_summaries
+from scorelab.sources.io import read_summaries, write_summary_csv
 
 SUMMARY_GLOB = os.path.join(GOLDEN_DIR, "summary", "*_summary.csv")
 HAVE_ROWS = bool(GOLDEN_DIR and glob.glob(SUMMARY_GLOB))
@@ -36,7 +37,15 @@ def summaries(spark):
 
 @pytest.fixture(scope="module")
 def means(spark):
-    return spark.createDataFrame([(m, *map(float, v)) for m, v in MEANS.items()], "model string, " + ", ".join(f"{c} double" for c in COLS)).cache()
+    """Means that ``model_means`` takes over rows around the published means: some lie above and below them by the same
+    amount, some lack a metric, and some have no score and count for nothing."""
+    rows = []
+    for m, want in MEANS.items():
+        rows += [(m, *[v + d for v in want]) for d in (-0.0625, 0.0625, 0.03125, -0.03125)]
+        rows += [(m, want[0], *[None if i % 2 else float("nan") for i in range(len(want) - 1)]), (m, None, *[99.0] * (len(want) - 1)),
+                 (m, float("nan"), *[-99.0] * (len(want) - 1))]
+    table = spark.createDataFrame(rows, "model string, " + ", ".join(f"{c} double" for c in COLS)).repartition(3)
+    return agg.model_means(table, with_count=False).cache()
 
 
 # Published rows (passed, avg CC, style, efficiency, LOC -> overall).
@@ -45,6 +54,77 @@ ROWS = [(False, None, 0.0, None, 0.98, 0.0), (True, 0.9, 0.5, 0.9999979337056478
         (False, 0.5, 0.909090909090909, 0.9999972184499105, 0.78, 0.0)]
 
 
+# Published summary rows, every 33rd of each model (model and the nine summary columns).
+SUMMARY_ROWS = [
+    ("codegemma_7b", "HumanEval/0", False, None, None, 0.0, None, 0.98, 0.0, 0.0),
+    ("codegemma_7b", "HumanEval/33", False, 0.7, 0.7, 0.005, 0.9999990463256836, 0.96, 0.0, 0.0),
+    ("codegemma_7b", "HumanEval/66", True, 0.7, 0.7, 0.33333333333333337, 0.9999989668528239, 0.88, 1.0, 0.6731544981654126),
+    ("codegemma_7b", "HumanEval/99", False, 0.9, 0.9, 0.5, 0.9999979337056478, 0.96, 0.0, 0.0),
+    ("codegemma_7b", "HumanEval/132", False, None, None, 0.0, None, 0.8, 0.0, 0.0),
+    ("codellama_7b", "HumanEval/0", True, 0.6, 0.6, 0.005, None, 0.88, 1.0, 0.1382084646002237),
+    ("codellama_7b", "HumanEval/33", False, 0.9, 0.9, 0.005, 0.9999988873799642, 0.96, 0.0, 0.0),
+    ("codellama_7b", "HumanEval/66", True, 0.7, 0.7, 0.005, 0.9999989668528239, 0.96, 1.0, 0.24076020651532115),
+    ("codellama_7b", "HumanEval/99", False, 0.5, 0.4, 0.7647058823529411, None, 0.62, 0.0, 0.0),
+    ("codellama_7b", "HumanEval/132", False, 0.4, 0.4, 0.005, 0.9999989668528239, 0.78, 0.0, 0.0),
+    ("deepseek-coder_6.7b", "HumanEval/0", False, None, None, 0.0, None, 0.86, 0.0, 0.0),
+    ("deepseek-coder_6.7b", "HumanEval/33", False, 0.19999999999999996, 0.19999999999999996, 0.005, 0.9999974568684896, 0.96, 0.0, 0.0),
+    ("deepseek-coder_6.7b", "HumanEval/66", False, None, None, 0.0, None, 0.96, 0.0, 0.0),
+    ("deepseek-coder_6.7b", "HumanEval/99", False, None, None, 0.0, None, 0.88, 0.0, 0.0),
+    ("deepseek-coder_6.7b", "HumanEval/132", False, 0.5, 0.5, 0.9, 0.9999987284342448, 0.8, 0.0, 0.0),
+    ("qwen2.5-coder_7b", "HumanEval/0", True, 0.6, 0.6, 0.7142857142857143, 0.999992291132609, 0.86, 1.0, 0.7791652577263217),
+    ("qwen2.5-coder_7b", "HumanEval/33", True, 0.5, 0.5, 0.75, 0.9999984900156657, 0.84, 1.0, 0.7491649913587983),
+    ("qwen2.5-coder_7b", "HumanEval/66", True, 0.7, 0.7, 0.005, 0.9999990463256836, 0.96, 1.0, 0.24076021129880149),
+    ("qwen2.5-coder_7b", "HumanEval/99", True, 0.7, 0.7, 0.7142857142857143, 0.9999988873799642, 0.8200000000000001, 1.0, 0.800195018436737),
+    ("qwen2.5-coder_7b", "HumanEval/132", False, 0.4, 0.4, 0.8181818181818181, 0.9999986489613851, 0.78, 0.0, 0.0),
+]
+SUMMARY_DDL = ("model string, task_id string, passed boolean, avg_cyclomatic_complexity double, max_cyclomatic_complexity double, style_score double, "
+               "efficiency_score double, loc_score double, functional_correctness double, overall_score double")
+
+
+@pytest.fixture(scope="module")
+def published(spark):
+    """The published rows, written as summary files and read back."""
+    out = local_scratch(spark, "published")
+    write_summary_csv(spark.createDataFrame(SUMMARY_ROWS, SUMMARY_DDL), out)
+    return read_summaries(spark, out, model_from="partition").cache()
+
+
+def test_published_rows_survive_files_and_scores_are_reproduced(published):
+    def key(r):
+        return r[:2]
+
+    names = ["model", *SUMMARY_DDL.replace(" string", "").replace(" boolean", "").replace(" double", "").split(", ")[1:]]
+    assert sorted(map(tuple, published.select(*names).collect()), key=key) == sorted(SUMMARY_ROWS, key=key)
+    scored = published.select("overall_score", overall_score(gate("passed"), "avg_cyclomatic_complexity", "style_score", "efficiency_score", "loc_score").alias("o"))
+    assert scored.agg(F.max(F.abs(F.col("o") - F.col("overall_score")))).first()[0] < 1e-12
+
+
+def test_published_rows_by_model(published):
+    rows = {m: [r for r in SUMMARY_ROWS if r[0] == m] for m in MODELS}
+    got = {r["model"]: r for r in agg.model_means(published).collect()}
+    for m, some in rows.items():
+        assert got[m]["n"] == len(some) and got[m]["overall_score"] == pytest.approx(sum(r[9] for r in some) / len(some))
+        known = [r[6] for r in some if r[6] is not None]
+        assert got[m]["efficiency_score"] == pytest.approx(sum(known) / len(known))
+    rate = {r["model"]: r["pass_at_k"] for r in agg.pass_at_k(published, ks=(1,)).collect()}
+    assert rate == pytest.approx({m: sum(r[2] for r in some) / len(some) for m, some in rows.items()})
+    for buckets in (256, 3, 1):
+        for r in dist.box_stats(published, buckets=buckets).collect():
+            q = np.quantile([x[9] for x in rows[r["model"]]], [0.25, 0.5, 0.75])
+            assert (r["q1"], r["median"], r["q3"]) == pytest.approx(tuple(q), abs=1e-12)
+
+
+# Tasks passed of 164 by each model.
+PASSED = {"codegemma_7b": 47, "codellama_7b": 47, "deepseek-coder_6.7b": 67, "qwen2.5-coder_7b": 120}
+
+
+def test_published_pass_rates(spark):
+    rows = [(m, f"T/{i}", i < n) for m, n in PASSED.items() for i in range(164)]
+    got = agg.pass_at_k(spark.createDataFrame(rows, "model string, task_id string, passed boolean"), ks=(1, 10)).collect()
+    for r in got:
+        assert r["pass_at_k"] == (pytest.approx(MEANS[r["model"]][1], abs=1e-9) if r["k"] == 1 else None)
+
+
 def test_published_rows(spark):
     df = spark.createDataFrame(ROWS, "passed boolean, cc double, style double, eff double, loc double, want double")
     for r in df.select("want", overall_score(gate("passed"), "cc", "style", "eff", "loc").alias("o")).collect():
@@ -52,6 +132,7 @@ def test_published_rows(spark):
 
 
 def test_model_means(means):
+    assert means.count() == len(MEANS)
     for r in means.collect():
         for c, want in zip(COLS, MEANS[r["model"]]):
             assert r[c] == pytest.approx(want, abs=1e-9), (r["model"], c)

@@ -44,3 +44,18 @@ def test_evaluation_moves_no_text(spark):
 def test_per_model_normalisation_scans_once(spark):
     for name in ("heatmap_norm", "minmax_norm", "delta_summary"):
         assert optimized(E.queries()[name](spark, SF001)).count("Relation [") == 1, name
+
+
+def test_a_computed_score_stands_once_in_the_plan(spark):
+    """Missing scores are left out by counts; a pushed filter would hold the whole score a second time."""
+    from scorelab.operators import agg, positions
+
+    one = optimized(R.measurements(spark, SF001)).count("POWER(")
+    scored = R.measurements(spark, SF001)
+    for plan in (agg.histogram(scored, "overall_score"), positions.value_counts(scored, "model", "overall_score"), agg.model_means(scored)):
+        assert optimized(plan).count("POWER(") == one == 1
+
+
+def test_lookup_lists_come_from_one_join(spark):
+    plan = optimized(E.queries()["task_lookup"](spark, SF001))
+    assert plan.count("Join") == 1 and plan.count("Relation [") == 2
