@@ -83,7 +83,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records, broken = warc.read_archives(spark, path)
+    for r in broken.limit(1).collect():
+        raise ValueError(f"{r['path']} at {r['at']}: {r['reason']}")
+    digest = F.when(F.col("intact"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a payload does not have its digest")))
+    return records.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 @query("op8_quality_rules")
