@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorelab.llm.ordered import numbered
 from scorelab.llm.store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -96,7 +97,8 @@ def allocate(df: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: i
     times all words; no target is above ``most`` times its source's words. Adds
     ``mix_size`` (words of the row), ``mix_source_size``, ``mix_target`` (of its source) and
     ``mix_copies``, an array of (pass, shard), one entry for each time the row is taken; a
-    row is taken whole or not at all, at most ``most`` times. Null texts have no words.
+    row is taken whole or not at all, at most ``most`` times; of repeated rows at the edge of a
+    target, as many as fit are taken. Null texts have no words.
     Rows with a null source form a source; repeated rows and null ids are rows like others
     (a row's hash covers id and text). An empty table gives an empty result. Other columns
     stay as they are; those named like an added column are replaced."""
@@ -119,17 +121,30 @@ def _allocate(df: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most:
     if plan is None:
         return rows.select("_row", "_h", "mix_size", F.lit(0).cast("bigint").alias("mix_source_size"), F.lit(0.0).alias("mix_target"),
                            F.array().cast("array<struct<pass:int,shard:int>>").alias("mix_copies"))
-    plan, n_sources = plan
+    plan, n_sources, has_ties = plan
     if n_sources <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
     joined = rows.join(plan, F.col("_from").eqNullSafe(plan["_source"]), "left")
     shard = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda p: F.when(
         p <= F.col("_full"), F.struct(p.cast("int").alias("pass"), F.element_at("_shard", p.cast("int") * blocks + F.col("_block") + 1).alias("shard"))))
-    # in the last pass, the block at the edge gives only documents up to the edge
-    edge = (F.col("_block") == F.col("_edge_block")) & ~F.coalesce(F.col("_h") <= F.col("_edge_h"), F.lit(False))
-    copies = F.filter(shard, lambda c: (c["shard"] >= 0) & ~((c["pass"] == F.col("_full")) & F.coalesce(edge, F.lit(False))))
-    return joined.select("_row", "_h", "mix_size", F.col("_source_size").alias("mix_source_size"), F.col("_target").alias("mix_target"),
-                         copies.alias("mix_copies"))
+    # in the last pass, the block at the edge gives only documents up to the edge, and of the repeated
+    # rows at the edge as many as there is room for
+    at_edge = F.coalesce(F.col("_block") == F.col("_edge_block"), F.lit(False))
+    tied = at_edge & F.coalesce(F.col("_h") == F.col("_tie_h"), F.lit(False))
+
+    def taken(rows: DataFrame, beyond: Column) -> DataFrame:
+        copies = F.filter(shard, lambda c: (c["shard"] >= 0) & ~((c["pass"] == F.col("_full")) & beyond))
+        return rows.select("_row", "_h", "mix_size", F.col("_source_size").alias("mix_source_size"), F.col("_target").alias("mix_target"),
+                           copies.alias("mix_copies"))
+
+    beyond = at_edge & ~F.coalesce(F.col("_h") <= F.col("_edge_h"), F.lit(False))
+    if not has_ties:
+        return taken(joined, beyond)
+    # rows that are equal are told apart by a number, given over all of them in ranges
+    alike = numbered(joined.where(tied), "mix-ties", F.col("_from"))
+    first = alike.groupBy(F.col("_from").alias("_tie_from")).agg(F.min("at").alias("_first"))
+    alike = alike.join(F.broadcast(first) if n_sources <= BROADCAST_SOURCES else first, F.col("_from").eqNullSafe(F.col("_tie_from")))
+    return taken(joined.where(~tied), beyond).union(taken(alike, F.col("at") - F.col("_first") >= F.col("_tie_take")))
 
 
 def _plan(narrow: DataFrame, weights, share, most, blocks, shards, seed):
@@ -173,16 +188,24 @@ def _plan(narrow: DataFrame, weights, share, most, blocks, shards, seed):
             first += counts.get((i, p), 0)
     ends = _rows(spark, bounds, "k int, pass int, first int, ends array<int>")
     dealt = taken.join(F.broadcast(ends) if len(table) <= BROADCAST_SOURCES else ends, ["k", "pass"]).withColumn("_n", F.col("first") + F.col("at"))
-    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_n"))))
+    # a shard draws as many of the next blocks as its quota says; what no quota covers is in no shard
+    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("_n")))).where(F.col("shard") < shards)
     # the block in which the last pass ends, and the last of its documents to take
     edge = dealt.where((F.col("pass") == F.col("_full")) & (F.col("before") + F.col("words") > F.col("_left"))).select(
         "k", F.col("_block").alias("_edge_block"), (F.col("_left") - F.col("before")).alias("_room"))
     per_source = sources.join(edge, "k", "left")
     docs = narrow.join(F.broadcast(per_source) if len(table) <= BROADCAST_SOURCES else per_source,
                        narrow["source"].eqNullSafe(per_source["_source"]) & (narrow["_block"] == per_source["_edge_block"]))
-    docs = docs.withColumn("before", F.coalesce(F.sum("size").over(
-        W.partitionBy("k").orderBy("_h").rangeBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    last = docs.where(F.col("before") + F.col("size") / 2 <= F.col("_room")).groupBy("k").agg(F.max("_h").alias("_edge_h"))
+    # repeated rows share a hash: a group of them is taken as far as it fits
+    docs = docs.groupBy("k", "_h", "size", "_room").agg(F.count("*").alias("n"))
+    docs = docs.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("n")).over(
+        W.partitionBy("k").orderBy("_h", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    fits = F.floor((F.col("_room") - F.col("before")) / F.col("size") + F.lit(0.5))
+    fits = F.when(F.col("size") == 0, F.when(F.col("before") <= F.col("_room"), F.col("n")).otherwise(0)).otherwise(F.least(F.greatest(fits, F.lit(0)), F.col("n")))
+    docs = docs.withColumn("fits", fits.cast("bigint"))
+    partly = (F.col("fits") > 0) & (F.col("fits") < F.col("n"))
+    last = docs.groupBy("k").agg(F.max(F.when(F.col("fits") == F.col("n"), F.col("_h"))).alias("_edge_h"),
+                                 F.max(F.when(partly, F.col("_h"))).alias("_tie_h"), F.max(F.when(partly, F.col("fits"))).alias("_tie_take"))
     # dense arrays: element pass * blocks + block + 1
     cells = sources.select("k", "_full", F.explode(F.sequence(F.lit(0), F.col("_full"))).alias("pass")).select(
         "k", "pass", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
@@ -190,7 +213,7 @@ def _plan(narrow: DataFrame, weights, share, most, blocks, shards, seed):
         F.transform(F.sort_array(F.collect_list(F.struct("pass", "_block", F.coalesce("shard", F.lit(-1)).alias("shard")))),
                     lambda x: x["shard"]).alias("_shard"))
     plan = written(per_source.join(last, "k", "left").join(arrays, "k").drop("k", "_left", "_room"), "mix-plan")
-    return plan, len(table)
+    return plan, len(table), not plan.where("_tie_h is not null").isEmpty()
 
 
 def mix(df: DataFrame, slices: int = 16, with_place: bool = True, **options) -> DataFrame:

@@ -66,7 +66,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.allocate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
-                      F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_copies")).cast("bigint").alias("taken"))
+                      F.col("mix_target").alias("target"), (F.col("mix_size") * F.size("mix_copies")).cast("bigint").alias("taken"),
+                      F.array_sort(F.transform("mix_copies", lambda c: c["shard"])).alias("shards"))
 
 
 @query("op2_ngram_join", oracles.NGRAM_JOIN)

@@ -53,3 +53,33 @@ def test_share_and_split():
     tree = mixing.split_quotas([100, 7, 0, 33], 6, 1)
     assert [sum(x) for x in zip(*tree)] == [100, 7, 0, 33]
     assert max(map(sum, tree)) - min(map(sum, tree)) <= 2
+
+
+def test_repeated_rows_come_within_one_row_of_the_target(spark):
+    """A source that is one row many times, and one in which it is a third of all rows."""
+    rows = [(1, "two words", "a")] * 100 + [(i, "w " * (i % 9 + 1), "b") for i in range(60)] + [(9, "x y z", "b")] * 40 + [(None, None, "c")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for share in (0.4, 0.75, 1.2, 1.5):
+        out = mixing.allocate(df, share=share).collect()
+        assert len(out) == len(rows)
+        for source, largest in (("a", 2), ("b", 9)):
+            mine = [r for r in out if r.source == source]
+            assert abs(sum(r.mix_size * len(r.mix_copies) for r in mine) - mine[0].mix_target) <= largest
+            assert all(len(r.mix_copies) <= 2 for r in mine)
+        assert mixing.mix(df, share=share).count() == sum(len(r.mix_copies) for r in out)
+
+
+def test_the_mix_follows_the_tree(spark, monkeypatch):
+    """Each shard draws its quota from the tree: another tree gives other shards, an empty one an empty mix."""
+    _, df = docs(spark)
+    tree, held = mixing.split_quotas, []
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, s: held.append(tree(q, n, s)) or held[-1])
+    blocks = {}
+    for r in mixing.allocate(df, shards=8).collect():
+        for c in r.mix_copies:
+            blocks.setdefault(c.shard, set()).add((r.source, c["pass"], r.doc_id))
+    assert set(blocks) == {s for s, quota in enumerate(held[0]) if sum(quota)}
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, s: [list(q)] + [[0] * len(q)] * (n - 1))
+    assert {c.shard for r in mixing.allocate(df, shards=8).collect() for c in r.mix_copies} == {0}
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, s: [[0] * len(q)] * n)
+    assert mixing.mix(df, shards=8).count() == 0
