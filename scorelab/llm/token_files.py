@@ -10,13 +10,13 @@ documents only the pages that may hold them. A manifest beside the files says ho
 ids come before each part: a place in the whole stream is that number plus ``at``.
 
 The texts are encoded by the ``tokenizers`` library. Its time goes into words it has seen
-before, so a text is cut before each space that a letter or digit follows (a place at which
-byte-level pre-tokenizers always cut), and each distinct piece is encoded once and
-remembered, up to a bound. ``PieceEncoder`` checks that the tokenizer is of that kind and that
+before, so a text is cut where byte-level pre-tokenizers always cut (``CUTS``), and each
+distinct piece is encoded once and remembered, up to a bound. ``PieceEncoder`` checks that the tokenizer is of that kind and that
 tokens end where pieces end."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +32,19 @@ from scorelab.llm.arrow import slices
 from scorelab.llm.ordered import in_order, running_start
 from scorelab.session import broadcast_if_small
 
-#: A space before a letter, digit or underscore: none of them is white space by any definition.
-CUT = re.compile(r" (?=\w)")
-#: Remembered pieces of one worker (about 150 bytes each).
-CACHE = 400_000
+#: Places where byte-level pre-tokenizers always cut: before a space that a letter, a digit or a
+#: visible ASCII character follows (none of them is white space by any definition), and between
+#: a Latin letter or ASCII digit and a punctuation mark.
+CUTS = [(r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,;:!?])", r"\1{}\2"), (r"( [\pL\pN!-~])", r"{}\1")]
+#: One pre-token: Latin letters, with or without a space before them.
+WORD = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+\Z").match
+#: Marks to cut at; the first that no text of a slice contains is taken.
+MARKS = ["\x00", "\x01", *map(chr, range(0xE000, 0xF8FF))]
+#: Bytes of texts that are encoded at once.
+SLICE = 4 << 20
+#: A worker remembers the pieces of its current generation and of the one before, each of
+#: about so many (150 bytes each); pieces that are met again move to the current one.
+CACHE = 200_000
 #: Bytes of pieces that are encoded as one text.
 JOINED = 1 << 16
 
@@ -44,7 +54,7 @@ class PieceEncoder:
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         found = json.loads(definition)
         step = found.get("pre_tokenizer") or {}
@@ -52,55 +62,111 @@ class PieceEncoder:
             raise ValueError("the tokenizer does not cut texts at spaces as byte-level tokenizers do")
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
+        # the same model for words that are cut already: no regular expression has to find them
+        self.words = Tokenizer.from_str(definition)
+        self.words.encode_special_tokens = True
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split("\x00", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)   # one character stands for each byte
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as it is."""
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are a word character and what follows it, each with its space before it.
+        """Ids of pieces that begin with a space and a visible character, or with a punctuation mark.
+
+        Many are encoded as one text: words of Latin letters, which are one pre-token each, with a mark
+        between them at which the tokenizer splits; other pieces as they are, those without a space
+        behind a word. A token never spans two pieces, so the ids are cut where the bytes of a
+        piece end; if some cut falls into a token the batch is encoded piece by piece."""
+        words = [i for i, p in enumerate(pieces) if WORD(p)]
+        out: list[bytes] = [b""] * len(pieces)
+        for i, ids in zip(words, self._joined([pieces[i] for i in words], self.words, "\x00", "")):
+            out[i] = ids
+        others = sorted(set(range(len(pieces))).difference(words))
+        for i, ids in zip(others, self._joined([pieces[i] for i in others], self.tokenizer, "", " a")):
+            out[i] = ids
+        return out
 
-        Many are encoded as one text. A token never spans two of them, so the ids are cut
-        where the bytes of a piece end; if some cut falls into a token the batch is encoded
-        piece by piece."""
+    def _joined(self, pieces: list[str], tokenizer, between: str, lead: str) -> list[bytes]:
+        """Ids of pieces, many at once: ``between`` stands between them and vanishes, ``lead`` goes before those that begin without a space."""
         out: list[bytes] = []
         n = 0
-        sizes = [len(p.encode()) + 1 for p in pieces]
         while n < len(pieces):
-            end, total = n, 0
-            while end < len(pieces) and (end == n or total + sizes[end] <= JOINED):
-                total += sizes[end]
-                end += 1
-            ids = self.whole([" " + " ".join(pieces[n:end])])[0]
-            ends = np.cumsum(self.n_bytes[ids])
-            wanted = np.cumsum(sizes[n:end])
+            start, total, text, wanted = n, 0, [], []
+            while n < len(pieces) and total < JOINED:
+                p = pieces[n]
+                if lead and p[0] != " ":
+                    text.append(lead)
+                    total += len(lead)
+                begin = total
+                text.append(p)
+                total += len(p) if p.isascii() else len(p.encode())
+                wanted += [begin, total]
+                n += 1
+            ids = np.array(tokenizer.encode_batch_fast([between.join(text)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
             cut = np.searchsorted(ends, wanted)
-            if len(ends) and ends[-1] == wanted[-1] and (ends[cut] == wanted).all():
-                out += [ids[a:b].tobytes() for a, b in zip(np.concatenate([[0], cut[:-1] + 1]), cut + 1)]
+            if ends[-1] == total and (ends[cut] == wanted).all():
+                raw, cut = ids.tobytes(), (4 * cut).tolist()
+                out += [raw[a:b] for a, b in zip(cut[::2], cut[1::2])]
             else:
-                out += [x.tobytes() for x in self.whole([" " + p for p in pieces[n:end]])]
-            n = end
+                out += [x.tobytes() for x in self.whole(pieces[start:n])]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [CUT.split(t or "") for t in texts]
-        seen = self.seen
-        new = list(set().union(*(c[1:] for c in cut)).difference(seen)) if cut else []
-        found = dict(zip(new, self.pieces(new)))
-        if len(seen) + len(new) > CACHE:
-            found = {p: seen[p] if p in seen else found[p] for p in set().union(*(c[1:] for c in cut))}
-            seen.clear()
-        seen.update(found)
-        heads = self.whole([c[0] for c in cut])
-        out = [h.tobytes() + b"".join([seen[p] for p in c[1:]]) for h, c in zip(heads, cut)]
-        if len(seen) > CACHE:   # one slice may hold more; its texts are bounded by bytes
-            seen.clear()
-        return out
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids of each. A null text is empty.
+
+        The texts are cut, and their distinct pieces found, by Arrow's kernels; a piece is looked
+        up once for each slice, and ids are gathered by number."""
+        texts = pc.fill_null(texts, "")
+        mark = next(m for m in MARKS if not pc.any(pc.match_substring(texts, m)).as_py())
+        for pattern, put in CUTS:
+            texts = pc.replace_substring_regex(texts, pattern, put.format(mark))
+        cut = pc.split_pattern(texts, mark)
+        ends, pieces = cut.offsets.to_numpy().astype(np.int64), cut.values
+        ends, pieces = ends - ends[0], pieces.slice(ends[0], ends[-1] - ends[0])
+        is_head = np.zeros(len(pieces), bool)
+        is_head[ends[:-1]] = True
+        coded = pc.dictionary_encode(pieces.filter(pa.array(~is_head)))
+        words = coded.dictionary.to_pylist()
+        pool = list(map(self.seen.get, words))
+        unseen = [i for i, f in enumerate(pool) if f is None]
+        new = [i for i in unseen if words[i] not in self.before]
+        fresh = dict(zip([words[i] for i in new], self.pieces([words[i] for i in new])))
+        for i in unseen:
+            w = words[i]
+            self.seen[w] = pool[i] = fresh[w] if w in fresh else self.before[w]
+        if len(self.seen) > CACHE:
+            self.before, self.seen = self.seen, {}
+        pool += [h.tobytes() for h in self.whole(pieces.filter(pa.array(is_head)).to_pylist())]
+        # numbers of 32 bits: a slice has far fewer pieces and ids
+        size = np.fromiter(map(len, pool), np.int32, len(pool)) // 4
+        place = np.cumsum(size, dtype=np.int32) - size
+        which = np.empty(len(pieces), np.int32)
+        which[~is_head] = coded.indices.to_numpy()
+        which[is_head] = len(words) + np.arange(len(texts))
+        n = size[which]
+        ends_of = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(place[which] - (ends_of - n), n) + np.arange(ends_of[-1] if len(n) else 0, dtype=np.int32)
+        return np.frombuffer(b"".join(pool), "<u4")[at], np.add.reduceat(n, ends[:-1]).astype(np.int64) if len(texts) else n.astype(np.int64)
+
+
+_LOADED: dict[bytes, PieceEncoder] = {}
+
+
+def _encoder(definition: str) -> PieceEncoder:
+    """The encoder of a worker, which keeps its pieces from task to task."""
+    key = hashlib.sha256(definition.encode()).digest()
+    if key not in _LOADED:
+        _LOADED[key] = PieceEncoder(definition)
+    return _LOADED[key]
 
 
 def file_options(ids: str = "dictionary", row_group: int = 64 << 20, page: int = 256 << 10, page_rows: int = 1000,
@@ -135,18 +201,17 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int | None =
     kind, meta_kind = rows.schema["doc_id"].dataType.simpleString(), rows.schema["meta"].dataType.simpleString()
 
     def run(batches):
-        encoder, at = PieceEncoder(sent.value), 0
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        encoder, at = _encoder(sent.value), 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [x + end for x in encoder.encode(part.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                places = at + np.cumsum(n) - n
-                at += int(n.sum())
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(places), pa.array(n), lists, part.column("meta")],
+            for part in slices(batch, "text", SLICE):
+                ids, n = encoder.encode(part.column("text"))
+                if end_id is not None:
+                    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                ends = np.concatenate([[0], np.cumsum(n)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(at + ends[:-1]), pa.array(n), lists, part.column("meta")],
                                                  names=["doc_id", "at", "n_tokens", "ids", "meta"])
+                at += int(ends[-1])
 
     out = rows.mapInArrow(run, f"doc_id {kind}, at bigint, n_tokens bigint, ids array<int>, meta {meta_kind}")
     if not meta:
