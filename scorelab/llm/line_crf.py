@@ -1,24 +1,29 @@
 """Quality classifier: a linear-chain conditional random field over the lines of a text.
 
 Every line is good or bad. A line's features describe its bytes and words, how much it
-repeats within the text, and the lines before and after it. Training lines take the
-label of their document; the chain learns how strongly neighbours agree. A document's
-score is the mean over its lines, weighted by length, of the forward-backward
-probability of being good."""
+repeats within the text, and the lines before and after it. A document's score is the
+mean over its lines, weighted by length, of the forward-backward probability of being
+good. Labels of lines are latent: the fit sees documents' labels alone and makes them likely
+under the scores, so a good document may hold bad lines, and the chain learns how
+strongly neighbours agree."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelab.llm.arrow import map_slices
 from scorelab.llm.samples import fold, labelled_sample
 from scorelab.llm.shingles import _SPACE, mix, word_hashes
+from scorelab.llm.store import written
 
 SAMPLE = 4000        # most labelled documents that the model is fitted on
-MOST_LINES = 2000    # documents with more lines are left out of the fit, not of the scoring
+LINES = 300_000      # lines of those documents, about: in the order of a hash, whole documents until so many are reached
+STEEP = 10.0         # log odds of a document's label for each unit of the good share of its length above a half
+CELLS = 1 << 16      # lines that are padded to rows of one length at a time (one text may have more)
 SLICE = 1 << 20
 
 _CLASS = np.zeros((256, 8), np.float32)    # upper, lower, digit, symbol, other punctuation, space, not ASCII, continuation byte
@@ -116,38 +121,64 @@ def forward_backward(score: np.ndarray, counts: np.ndarray, pair: np.ndarray, st
     return both[:, :, 1] / np.maximum(both.sum(2), 1e-300), expected
 
 
-def fit(docs: list[tuple[np.ndarray, int]], epochs: int = 30, l2: float = 1e-4, seed: int = 1) -> dict:
-    """Maximum likelihood by Adam over batches of documents: (features of the lines, label)."""
+def groups(counts: np.ndarray) -> list[np.ndarray]:
+    """Rows in order of length, cut so that a group padded to its longest row has at most ``CELLS`` cells and 64 rows."""
+    out, held = [], []
+    for i in np.argsort(counts, kind="stable").tolist():
+        if held and (len(held) >= 64 or (len(held) + 1) * counts[i] > CELLS):
+            out.append(np.array(held))
+            held = []
+        held.append(i)
+    return [*out, np.array(held)] if held else out
+
+
+def slopes(score: np.ndarray, counts: np.ndarray, weight: np.ndarray, pair: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's score q (mean of the marginals by ``weight``, which sums to 1), and its slopes in the lines' scores and in
+    the transitions. A slope is a covariance with the weighted number of good lines, which is how marginals and expected
+    transitions change as the scores move along the weights."""
+    step = 1e-3 / weight.max(1, keepdims=True)
+    p, _ = forward_backward(score, counts, pair, start)
+    up, moves_up = forward_backward(score + step * weight, counts, pair, start)
+    down, moves_down = forward_backward(score - step * weight, counts, pair, start)
+    return (p * weight).sum(1), (up - down) / (2 * step), (moves_up - moves_down) / (2 * step[:, :, None])
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 40, l2: float = 1e-4, near: float = 0.1, seed: int = 1) -> dict:
+    """Fit by Adam over groups of documents: (features of the lines, their lengths, label). Documents count alike, whatever their length.
+
+    ``near`` is the penalty on the weights of neighbouring lines' features (a fifth of it on transitions): documents'
+    labels alone could be told from either, and a line is to be judged by itself first."""
     docs = [d for d in docs if len(d[0])]
-    good = sum(y for _, y in docs)
+    good = sum(d[2] for d in docs)
     width = docs[0][0].shape[1] if docs else 3 * N_OWN + 3
     model = {"w": np.zeros(width), "pair": np.zeros((2, 2)), "start": np.zeros(2), "mean": np.zeros(width), "scale": np.ones(width),
              "prior": (good + 1) / (len(docs) + 2)}
     if not docs or good in (0, len(docs)):
         return model
-    every = np.concatenate([x for x, _ in docs])
+    every = np.concatenate([d[0] for d in docs])
     model["mean"], model["scale"] = every.mean(0), every.std(0) + 1e-3
     model["mean"][-1], model["scale"][-1] = 0, 1
-    docs = sorted(docs, key=lambda d: len(d[0]))
-    batches = [docs[i:i + 64] for i in range(0, len(docs), 64)]
+    batches = [[docs[i] for i in g] for g in groups(np.array([len(d[0]) for d in docs]))]
     rng = np.random.Generator(np.random.PCG64(seed))
     params = [model["w"], model["pair"], model["start"]]
+    decay = np.full(width, l2)
+    decay[N_OWN:3 * N_OWN] = near
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
         for b in rng.permutation(len(batches)):
             part = batches[b]
-            counts = np.array([len(x) for x, _ in part])
-            y = np.array([y for _, y in part])
-            x = (np.concatenate([x for x, _ in part]) - model["mean"]) / model["scale"]
-            score = _padded(x @ params[0], counts)
-            p, expected = forward_backward(score, counts, params[1], params[2])
-            inside = np.arange(score.shape[1])[None, :] < counts[:, None]
-            off = ((y[:, None] - p) * inside)[inside]
-            told = np.zeros((2, 2))
-            np.add.at(told, (y, y), counts - 1)
-            first = np.array([np.sum(1 - y - (1 - p[:, 0])), np.sum(y - p[:, 0])])
-            total = counts.sum()
-            grads = [off @ x / total - l2 * params[0], (told - expected.sum(0)) / total - l2 * params[1], first / len(part) - l2 * params[2]]
+            counts = np.array([len(d[0]) for d in part])
+            y = np.array([d[2] for d in part])
+            x = (np.concatenate([d[0] for d in part]) - model["mean"]) / model["scale"]
+            weight = _padded(np.concatenate([d[1] for d in part]).astype(float), counts)
+            weight /= weight.sum(1, keepdims=True)
+            q, by_line, by_move = slopes(_padded(x @ params[0], counts), counts, weight, params[1], params[2])
+            # most of a document's length decides its label: beyond that, nothing is asked of its lines
+            off = STEEP * (y - 1 / (1 + np.exp(-STEEP * (q - 0.5))))
+            inside = np.arange(weight.shape[1])[None, :] < counts[:, None]
+            first = np.array([-(off * by_line[:, 0]).sum(), (off * by_line[:, 0]).sum()])
+            grads = [(off[:, None] * by_line)[inside] @ x / len(part) - decay * params[0],
+                     (off[:, None, None] * by_move).sum(0) / len(part) - near / 5 * params[1], first / len(part) - l2 * params[2]]
             step += 1
             rate = 0.05 * (1 - epoch / epochs) + 0.002
             for k, g in enumerate(grads):
@@ -155,23 +186,31 @@ def fit(docs: list[tuple[np.ndarray, int]], epochs: int = 30, l2: float = 1e-4,
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 params[k] += rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
                 if k:
-                    np.clip(params[k], -8, 8, out=params[k])
+                    np.clip(params[k], -4, 4, out=params[k])
     return model
 
 
-def predict(model: dict, texts: list[bytes]) -> list[float]:
-    """Quality of each text; a text without lines has the share of good documents in the fit."""
+def marginals(model: dict, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """P(good) and length of each line with a word, for each text."""
     x, size, counts = line_features(texts)
-    out = np.full(len(texts), model["prior"])
+    out = [np.zeros(0)] * len(texts)
     some = np.flatnonzero(counts)
+    ends = np.cumsum(counts)
     if len(some):
-        score = ((x - model["mean"]) / model["scale"]) @ model["w"]
-        ends = np.cumsum(counts)
-        for group in np.split(some[np.argsort(counts[some], kind="stable")], np.arange(64, len(some), 64)):
-            at = np.concatenate([np.arange(ends[d] - counts[d], ends[d]) for d in group])
-            p, _ = forward_backward(_padded(score[at], counts[group]), counts[group], model["pair"], model["start"])
-            weight = _padded(size[at].astype(float), counts[group])
-            out[group] = (p * weight).sum(1) / weight.sum(1)
+        score = np.concatenate([((x[i:i + CELLS] - model["mean"]) / model["scale"]) @ model["w"] for i in range(0, len(x), CELLS)])
+        for group in groups(counts[some]):
+            rows = some[group]
+            at = np.concatenate([np.arange(ends[d] - counts[d], ends[d]) for d in rows])
+            p, _ = forward_backward(_padded(score[at], counts[rows]), counts[rows], model["pair"], model["start"])
+            for d, line in zip(rows, p):
+                out[d] = line[:counts[d]].copy()
+    return out, np.split(size, ends[:-1])
+
+
+def predict(model: dict, texts: list[bytes]) -> list[float]:
+    """Quality of each text; a text without lines has the share of good documents in the fit."""
+    p, size = marginals(model, texts)
+    out = [float((a * b).sum() / b.sum()) if len(a) else model["prior"] for a, b in zip(p, size)]
     return np.clip(out, 0, 1).tolist()
 
 
@@ -179,20 +218,25 @@ def _texts(column) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, sample: int = SAMPLE, **cols) -> dict:
-    """Fit the model on at most ``sample`` labelled documents outside the held-out fold. Their line
-    features are made by Spark; documents of over ``MOST_LINES`` lines stay out of the fit."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, sample: int = SAMPLE, lines: int = LINES, **cols) -> dict:
+    """Fit the model on at most ``sample`` labelled documents outside the held-out fold, and of those, in the order of a hash
+    of the text, as many as have about ``lines`` lines together: whole documents of any length. Their line features
+    are made by Spark; what reaches the driver is bounded by ``lines`` and one document."""
     some = labelled_sample(docs, labels, label, folds, held_out, sample, **cols)
 
     def features(part: pa.RecordBatch) -> dict:
-        x, _, counts = line_features(_texts(part.column("text")))
-        parts = np.split(x, np.cumsum(counts)[:-1])
-        keep = [i for i, p in enumerate(parts) if 0 < len(p) <= MOST_LINES]
-        y = part.column("y").to_pylist()
-        return {"x": [parts[i].tobytes() for i in keep], "y": [y[i] for i in keep]}
-
-    rows = map_slices(some, features, "x binary, y int", "text", limit=SLICE).collect()
-    return fit([(np.frombuffer(r["x"], np.float32).reshape(-1, 3 * N_OWN + 3), int(r["y"] == 1)) for r in sorted(rows, key=lambda r: (len(r["x"]), r["x"]))])
+        x, size, counts = line_features(_texts(part.column("text")))
+        ends = np.cumsum(counts)[:-1]
+        return {"x": [p.tobytes() for p in np.split(x, ends)], "size": [p.astype("<i4").tobytes() for p in np.split(size, ends)],
+                "n": counts.tolist(), "y": part.column("y").to_pylist(), "h": part.column("h").to_pylist()}
+
+    rows = map_slices(some.withColumn("h", F.xxhash64("text")), features, "x binary, size binary, n bigint, y int, h bigint", "text", limit=SLICE)
+    rows = written(rows.withColumn("m", F.monotonically_increasing_id()), "line-features")
+    before = F.coalesce(F.sum("n").over(W.orderBy("h", "m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = rows.select("h", "m", "n").withColumn("before", before).where((F.col("before") < lines) & (F.col("n") > 0)).select("m")   # at most ``sample`` numbers
+    kept = rows.join(F.broadcast(kept), "m")
+    found = sorted(kept.select("x", "size", "y").collect(), key=lambda r: (len(r["x"]), r["x"], r["y"]))
+    return fit([(np.frombuffer(r["x"], np.float32).reshape(-1, 3 * N_OWN + 3), np.frombuffer(r["size"], "<i4"), int(r["y"] == 1)) for r in found])
 
 
 def score(docs: DataFrame, model: dict, folds: int = 4, held_out: int = 2, cut: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
