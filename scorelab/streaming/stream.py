@@ -80,11 +80,7 @@ def _assembler(key_field: str, timeout_ms: int | None, event_time: str | None, e
     return fold
 
 
-#: Without an event time, state ends so long after the key's last batch: a day of processing time.
-KEEP_MS = 86_400_000
-
-
-def assemble_stream(chunks: DataFrame, key: str = "request_id", timeout_ms: int | None = KEEP_MS,
+def assemble_stream(chunks: DataFrame, key: str = "request_id", timeout_ms: int | None = None,
                     event_time: str | None = None, expire_ms: int = 3_600_000) -> DataFrame:
     """Emit a response once its first done chunk and every earlier chunk (seq 0..done)
     have arrived, in any order, with duplicates, replays and late copies: once.
@@ -93,11 +89,10 @@ def assemble_stream(chunks: DataFrame, key: str = "request_id", timeout_ms: int
     few numbers. With ``event_time`` (a timestamp column with a watermark) both go when the
     watermark is ``expire_ms`` past the key's latest chunk; an unfinished response is then
     emitted as incomplete (done = false), and chunks older than the watermark are ignored.
-    Without an event time the same happens ``timeout_ms`` after the key's last chunk by
-    processing time (a day unless said otherwise; a chunk replayed after that starts its
-    response anew), so state is bounded either way. ``timeout_ms=None`` keeps markers for as
-    long as the query runs: replays of any age are recognised, and state grows by one marker
-    for each response."""
+    ``timeout_ms`` does the same by processing time, for triggers that keep running (a run that
+    ends when everything is read would wait for the time to pass). With neither, markers stay
+    for as long as the query runs: replays of any age are recognised, and state grows by one
+    marker for each response, so a stream that never ends wants one of the two."""
     out = T.StructType([
         T.StructField(key, chunks.schema[key].dataType),
         T.StructField("response", T.StringType()),
