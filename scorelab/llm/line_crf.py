@@ -222,20 +222,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     """Fit the model on at most ``sample`` labelled documents outside the held-out fold, and of those, in the order of a hash
     of the text, as many as have about ``lines`` lines together: whole documents of any length. Their line features
     are made by Spark; what reaches the driver is bounded by ``lines`` and one document."""
-    some = labelled_sample(docs, labels, label, folds, held_out, sample, **cols)
+    some = labelled_sample(docs, labels, label, folds, held_out, sample, **cols).withColumn("h", F.xxhash64("text"))
+    rows = written(some.withColumn("m", F.monotonically_increasing_id()), "quality-sample")
+    before = F.coalesce(F.sum("n").over(W.orderBy("h", "m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.select("h", "m", F.regexp_count("text", F.lit("[^\n]+")).alias("n"))     # of at most ``sample`` rows
+    chosen = sizes.withColumn("before", before).where(F.col("before") < lines).select("m")
 
     def features(part: pa.RecordBatch) -> dict:
         x, size, counts = line_features(_texts(part.column("text")))
         ends = np.cumsum(counts)[:-1]
-        return {"x": [p.tobytes() for p in np.split(x, ends)], "size": [p.astype("<i4").tobytes() for p in np.split(size, ends)],
-                "n": counts.tolist(), "y": part.column("y").to_pylist(), "h": part.column("h").to_pylist()}
+        return {"x": [p.tobytes() for p in np.split(x, ends)], "size": [p.astype("<i4").tobytes() for p in np.split(size, ends)], "y": part.column("y").to_pylist()}
 
-    rows = map_slices(some.withColumn("h", F.xxhash64("text")), features, "x binary, size binary, n bigint, y int, h bigint", "text", limit=SLICE)
-    rows = written(rows.withColumn("m", F.monotonically_increasing_id()), "line-features")
-    before = F.coalesce(F.sum("n").over(W.orderBy("h", "m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    kept = rows.select("h", "m", "n").withColumn("before", before).where((F.col("before") < lines) & (F.col("n") > 0)).select("m")   # at most ``sample`` numbers
-    kept = rows.join(F.broadcast(kept), "m")
-    found = sorted(kept.select("x", "size", "y").collect(), key=lambda r: (len(r["x"]), r["x"], r["y"]))
+    found = map_slices(rows.join(F.broadcast(chosen), "m").select("text", "y"), features, "x binary, size binary, y int", "text", limit=SLICE).collect()
+    found = sorted((r for r in found if r["x"]), key=lambda r: (len(r["x"]), r["x"], r["y"]))
     return fit([(np.frombuffer(r["x"], np.float32).reshape(-1, 3 * N_OWN + 3), np.frombuffer(r["size"], "<i4"), int(r["y"] == 1)) for r in found])
 
 
