@@ -4,11 +4,12 @@
    labelled documents outside the held-out fold; the ones that go with the label stay.
 2. Voters are chosen among them (each document of the label is covered several times by
    terms that are not parts of each other), beside a general word list and patterns. A
-   voter votes toxic or abstains; "nothing found" votes clean.
-3. A generative label model has an accuracy for each voter and a true label for each
-   document; the given label is one more noisy voter. EM estimates the accuracies;
-   correlations of votes given a toxic text, measured under the posterior, discount voters
-   that repeat each other. It yields a posterior label for each sampled document.
+   voter votes toxic or abstains.
+3. A generative label model, P(votes given the class), has for each voter the rates of
+   voting and abstaining in clean texts and in each of several kinds of toxic ones, and
+   correlation terms for pairs of voters that go together though the class is known. EM
+   maximises the likelihood with the class latent; given labels only say where it starts, and so
+   which classes are toxic. It yields a posterior label for each sampled document.
 4. A linear classifier on all candidate terms is trained on the posterior labels and
    scores every text."""
 
@@ -28,6 +29,8 @@ from scorelab.llm.samples import fold, labelled_sample
 SAMPLE = 12_000     # most labelled documents that terms, label model and classifier are fitted on
 TERMS = 3_000       # most candidate terms
 VOTERS = 64         # most term voters
+KINDS = 8           # classes of toxic texts in the label model
+ANCHOR = 1.0        # weight of a labelled document in the prior of the label model's rates
 SHORT, LONG = 3, 9  # letters of word beginnings
 CACHE = 300_000     # words remembered by a worker
 WORD = re.compile(r"[^\W\d_]+")
@@ -120,38 +123,110 @@ def choose_voters(terms: list[dict], docs: list[list[int]], y: np.ndarray, cover
     return chosen
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 50) -> dict:
-    """Accuracies, correlations and posteriors. ``votes`` (documents x voters) marks who votes toxic;
-    the given label ``y`` is one more voter, right with an accuracy of its own."""
-    n = votes.sum(0)
-    hits = (votes * y[:, None]).sum(0)
-    base = (y.sum() + 1) / (len(y) + 2)
-    silent = votes.sum(1) == 0
-    alpha = (hits + 1) / (n + 2)
-    clean = ((1 - y[silent]).sum() + 1) / (silent.sum() + 2)   # "nothing found" is right so often
-    told, weight = 0.95, np.ones(votes.shape[1])
-    logit = lambda p: np.log(np.clip(p, 1e-3, 1 - 1e-3) / (1 - np.clip(p, 1e-3, 1 - 1e-3)))
-    post, rho = np.full(len(y), base), np.zeros((votes.shape[1],) * 2)
-    for _ in range(rounds):
-        # a vote moves the odds by its accuracy against the base rate
-        odds = logit(base) + votes @ (weight * (logit(alpha) - logit(base))) - silent * logit(clean) + (2 * y - 1) * logit(told)
-        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-        done = np.abs(new - post).max(initial=0) < 1e-6
-        post = new
-        # correlation of votes given a toxic text, under the posterior
-        share = (votes * post[:, None]).sum(0) / max(post.sum(), 1e-9)
-        r = (votes - share) * np.sqrt(post)[:, None]
-        cov = r.T @ r
-        sd = np.sqrt(np.diag(cov)) + 1e-9
-        rho = np.clip(cov / np.outer(sd, sd), 0, 1)
-        weight = 1 / np.maximum(1, np.where(rho > 0.5, rho, 0).sum(0))
-        alpha = ((votes * post[:, None]).sum(0) + 1) / (n + 2)
-        clean = ((1 - post[silent]).sum() + 1) / (silent.sum() + 2)
-        told = ((y * post + (1 - y) * (1 - post)).sum() + 1) / (len(y) + 2)
-        base = (post.sum() + 1) / (len(y) + 2)
-        if done:
+def forest(votes: np.ndarray, post: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A parent for each voter (or the number of voters: none), and the voters' mutual information given
+    the class, where ``post`` (classes x documents) says how likely a document is in each.
+
+    Pairs whose information pays for its parameter in each class (BIC) are joined, the
+    strongest first, as long as they close no circle (Chow and Liu's tree, cut to a forest)."""
+    n, j = votes.shape
+    info = np.zeros((j, j))
+    for w in post:
+        mass = max(w.sum(), 1e-9)
+        both = (votes * w[:, None]).T @ votes / mass
+        one = np.diag(both)
+        for u, cell in (((1, 1), both), ((1, 0), one[:, None] - both), ((0, 1), one[None, :] - both), ((0, 0), 1 - one[:, None] - one[None, :] + both)):
+            apart = np.where(u[0], one, 1 - one)[:, None] * np.where(u[1], one, 1 - one)[None, :]
+            cell = np.clip(cell, 0, 1)
+            info += mass * np.where((cell > 1e-12) & (apart > 1e-12), cell * np.log(np.maximum(cell, 1e-12) / np.maximum(apart, 1e-12)), 0)
+    p, q = np.nonzero(np.triu(2 * info > len(post) * np.log(max(n, 2)), 1))
+    group, near = list(range(j)), {v: [] for v in range(j)}
+    for k in np.argsort(-info[p, q], kind="stable").tolist():
+        u, v = int(p[k]), int(q[k])
+        if group[u] != group[v]:
+            gone, to = group[u], group[v]
+            group = [to if g == gone else g for g in group]
+            near[u].append(v)
+            near[v].append(u)
+    parent, done = np.full(j, j), set()
+    for start in range(j):
+        todo = [start] if start not in done else []
+        done.add(start)
+        while todo:
+            u = todo.pop()
+            for v in near[u]:
+                if v not in done:
+                    done.add(v)
+                    parent[v] = u
+                    todo.append(v)
+    return parent, info / max(n, 1)
+
+
+def first_classes(votes: np.ndarray, y: np.ndarray, kinds: int, sure: float = 0.95) -> np.ndarray:
+    """Where EM starts (classes x documents): class 0 is clean, the others are kinds of toxic texts.
+
+    The voter of most documents with the label that have no kind yet makes the next kind;
+    those of no such voter are of the last. A document is ``sure`` to have its given label."""
+    of, free = np.full(len(y), kinds - 1), y == 1
+    for k in range(kinds - 1):
+        n = votes[free].sum(0)
+        if n.max(initial=0) < 2:
             break
-    return {"accuracy": alpha, "weight": weight, "correlation": rho, "base": base, "label_accuracy": told, "posterior": post}
+        here = free & (votes[:, int(n.argmax())] > 0)
+        of[here] = k
+        free &= ~here
+    toxic = np.where(y == 1, sure, 1 - sure)
+    post = np.empty((kinds + 1, len(y)))
+    post[0] = 1 - toxic
+    for k in range(kinds):   # a document labelled clean is no kind more than another
+        post[1 + k] = toxic * np.where(y == 1, of == k, 1 / kinds)
+    return post
+
+
+def label_model(votes: np.ndarray, y: np.ndarray, kinds: int = KINDS, rounds: int = 200, strength: float = 2.0, anchor: float = ANCHOR) -> dict:
+    """A generative model of votes with a latent label, fitted by EM.
+
+    ``votes`` (documents x voters) marks who votes toxic; the others abstain. Toxic texts are of several
+    ``kinds`` (insults of one language rarely meet those of another), which with the clean texts are the
+    classes. The likelihood of a document is the sum over classes c of P(c) times the product over voters j of
+    P(vote_j | vote of j's parent, c): in each class a voter has a rate of voting and of abstaining,
+    and voters that go together even when the class is known are joined by an edge (``forest``), so that
+    one that repeats another adds nothing. Edges are chosen once, after EM with independent voters.
+    The given labels ``y`` are no part of the likelihood; they anchor the classes: EM starts from them, and
+    rates and class shares have a prior that counts each document of that start with weight ``anchor``
+    (0: none). A document's posterior comes from its votes, whatever its own label. Rates also have a Beta
+    prior of ``strength`` documents around the voter's overall rate. ``objective`` lists log-likelihood
+    plus log-prior of each round, and never falls.
+    ``posterior`` is the chance of a toxic class; ``accuracy`` that of a document a voter votes on."""
+    n, j = votes.shape
+    rate = np.clip(votes.mean(0) if n else np.zeros(j), 0.5 / max(n, 1), 1 - 0.5 / max(n, 1))
+    post, objective = first_classes(votes, y, kinds), []
+    first = anchor * post
+    parent, info = np.full(j, j), np.zeros((j, j))
+    for phase in range(2):
+        if phase:
+            parent, info = forest(votes, post)
+        above = np.column_stack([votes, np.zeros(n)])[:, parent]     # the parent's vote; none: 0
+        cells = [(1 - above) * (1 - votes), (1 - above) * votes, above * (1 - votes), above * votes]
+        trace: list[float] = []
+        for _ in range(rounds):
+            base = ((post + first).sum(1) + 1) / (n * (1 + anchor) + len(post))
+            no0, yes0, no1, yes1 = ((post + first) @ c for c in cells)
+            told = np.stack([(yes0 + strength * rate) / (no0 + yes0 + strength), (yes1 + strength * rate) / (no1 + yes1 + strength)])
+            stay, vote = np.log1p(-told), np.log(told)                # by the parent's vote, class and voter
+            joint = np.log(base)[:, None] + stay[0] @ cells[0].T + vote[0] @ cells[1].T + stay[1] @ cells[2].T + vote[1] @ cells[3].T
+            prior = strength * (rate * vote + (1 - rate) * stay).sum() + np.log(base).sum() + (first * joint).sum()
+            top = joint.max(0, initial=-np.inf)
+            post = np.exp(joint - top)
+            total = post.sum(0)
+            post = post / total
+            trace.append(float((np.log(total) + top).sum() + prior))
+            if len(trace) > 1 and trace[-1] - trace[-2] < 1e-7 * (1 + abs(trace[-1])):
+                break
+        objective.append(trace)
+    toxic = post[1:].sum(0)
+    return {"accuracy": (votes.T @ toxic + 1) / (votes.sum(0) + 2), "rates": told, "parent": parent, "information": info, "base": base,
+            "objective": objective, "posterior": toxic}
 
 
 def linear(docs: list[list[int]], target: np.ndarray, width: int, l2: float = 0.01, rounds: int = 500) -> tuple[np.ndarray, float]:
