@@ -4,7 +4,8 @@
 2. A normalised vector x has, in each of several tables, the key of
    (floor((a_1 x + b_1) / r), ..., floor((a_k x + b_k) / r)) with Gaussian a and uniform b.
    Pairs with cosine c are |x - y| = sqrt(2 - 2c) apart; ``plan_tables`` takes the
-   number of tables that finds such pairs with the wanted recall.
+   number of tables that finds such pairs with the wanted recall for a key of k parts, and
+   ``plan_key`` the k: the more vectors there are and the closer those that do not link, the longer the key.
 3. Buckets with the same members keep one copy of themselves, and are dealt to pairs of
    bounded blocks. A task computes the exact cosines of its block pair in double
    precision and counts each pair in the first bucket that holds both. Link counts and
@@ -45,6 +46,22 @@ def plan_tables(cosine: float, recall: float, r: float, k: int) -> int:
     return 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
 
 
+def plan_key(n: int, apart: np.ndarray, cosine: float, recall: float, r: float, pair_cost: float = 16.0) -> tuple[int, int]:
+    """(k, tables) of least work for ``n`` vectors, ``apart`` being distances of pairs that do not link.
+
+    A vector's work is a row in each table and ``pair_cost`` times as much for each stranger that it
+    meets there; of these there are n times the mean chance of the given distances. Longer keys
+    need more tables for the same recall, so the sum has a smallest value."""
+    at, share = np.unique(np.round(apart, 2), return_counts=True)
+    chance = np.array([hit_chance(d, r) for d in at.tolist()])
+    share = share / max(share.sum(), 1)
+
+    def work(k: int) -> float:
+        return plan_tables(cosine, recall, r, k) * (1 + pair_cost * n * float(share @ chance**k))
+    k = min(range(8, 65), key=work)
+    return k, plan_tables(cosine, recall, r, k)
+
+
 def normalised(values: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision and which rows are usable (same length, finite, not zero)."""
     dims = [len(v) if v is not None else 0 for v in values]
@@ -64,56 +81,80 @@ def normalised(values: list, dim: int | None = None) -> tuple[np.ndarray, np.nda
 
 
 def vector_components(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95,
-                      recall: float = 0.999, r: float = 2.0, k: int = 16, seed: int = 5) -> DataFrame:
+                      recall: float = 0.999, r: float = 2.0, k: int | None = None, seed: int = 5, sample: int = 1000) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id`` and ``kept`` for every row.
 
     Rows link if the cosine of their vectors, in double precision, is at least ``cosine``.
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing; vectors of different lengths do not link. Copies count as links of each
     other. ``recall`` is the chance of finding a pair exactly at the threshold (pairs
-    above it are found more surely, equal vectors always); every link is verified.
+    above it are found more surely, equal vectors always); every link is verified. The key's
+    length ``k``, if not given, is planned from the number of different vectors and the distances
+    within ``sample`` of them; it changes the work, not which links count.
     Null ids stay null and never name a component unless it has no other. An empty
     table gives an empty result; extra columns are ignored."""
-    tables = plan_tables(cosine, recall, r, k)
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
 
+    def by_length(values: list, step: int = 1000):
+        at: dict[int, list[int]] = {}
+        for i, v in enumerate(values):
+            if v:
+                at.setdefault(len(v), []).append(i)
+        for d, found in at.items():
+            for s in range(0, len(found), step):
+                yield d, found[s:s + step]
+
+    def name(batches):
+        for batch in batches:
+            values = batch.column("v").to_pylist()
+            digests: list = [None] * len(values)
+            for d, part in by_length(values):
+                for i, good in zip(part, normalised([values[i] for i in part], d)[1].tolist()):
+                    if good:
+                        digests[i] = hashlib.blake2b((np.array(values[i], "<f8") + 0.0).tobytes(), digest_size=16).digest()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), batch.column("v")], names=["id", "c", "v"])
+
+    sig = written(rows.mapInArrow(name, "id bigint, c binary, v array<double>"), "vectors")
+    classes = written(sig.where("c is not null").groupBy("c").agg(
+        F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("v").alias("v")), "vector-classes")
+    if k is None:
+        # the digests are hashes, so the smallest ones are a random sample of the different vectors
+        some = [r_["v"] for r_ in classes.orderBy("c").limit(sample).select("v").collect()]
+        cosines = [np.zeros(0)]
+        for d in sorted({len(v) for v in some}):
+            x, _ = normalised([v for v in some if len(v) == d], d)
+            cosines.append((x @ x.T)[np.triu_indices(len(x), 1)])
+        c = np.concatenate(cosines)
+        k, tables = plan_key(classes.count(), np.sqrt(np.maximum(2 - 2 * c[c < cosine], 0)), cosine, recall, r)
+    else:
+        tables = plan_tables(cosine, recall, r, k)
+
     def sign(batches):
         lines: dict[int, tuple] = {}
         for batch in batches:
             values = batch.column("v").to_pylist()
             keys: list = [None] * len(values)
-            digests: list = [None] * len(values)
-            by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(values):
-                if v:
-                    by_dim.setdefault(len(v), []).append(i)
-            for d, at in by_dim.items():
+            for d, part in by_length(values):
                 if d not in lines:
                     rng = np.random.Generator(np.random.PCG64([seed, d]))
                     lines[d] = rng.standard_normal((d, tables * k)), rng.uniform(0, r, tables * k)
-                for s in range(0, len(at), 1000):
-                    part = at[s:s + 1000]
-                    x, good = normalised([values[i] for i in part], d)
-                    a, b = lines[d]
-                    cell = np.floor((x @ a + b) / r).astype(np.int32).reshape(len(part), tables, k)
-                    key = np.zeros((len(part), tables), np.uint64)
-                    for t in range(k):
-                        key = mix(key + cell[:, :, t].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-                    for n, i in enumerate(part):
-                        if good[n]:
-                            raw = np.array(values[i], "<f8") + 0.0
-                            digests[i] = hashlib.blake2b(raw.tobytes(), digest_size=16).digest()
-                            keys[i] = key[n].view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), batch.column("v")],
-                                             names=["id", "c", "keys", "v"])
-
-    sig = written(rows.mapInArrow(sign, "id bigint, c binary, keys array<bigint>, v array<double>"), "vectors")
-    classes = written(sig.where("c is not null").groupBy("c").agg(
-        F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("keys").alias("keys"), F.first("v").alias("v")), "vector-classes")
-    inside = classes.select("c", F.posexplode("keys").alias("t", "h")).select(F.xxhash64("t", "h").alias("bucket"), "c")
+                a, b = lines[d]
+                cell = np.floor((normalised([values[i] for i in part], d)[0] @ a + b) / r).astype(np.int32).reshape(len(part), tables, k)
+                key = np.zeros((len(part), tables), np.uint64)
+                for t in range(k):
+                    key = mix(key + cell[:, :, t].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+                for n, i in enumerate(part):
+                    keys[i] = key[n].view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(keys, pa.list_(pa.int64()))], names=["c", "keys"])
+
+    keyed = written(classes.select("c", "v").mapInArrow(sign, "c binary, keys array<bigint>"), "vector-keys")
+    inside = keyed.select("c", F.posexplode("keys").alias("t", "h")).select(F.xxhash64("t", "h").alias("bucket"), "c")
+    # most buckets hold one vector: those with more are found from the numbers alone, before any row is joined
+    shared = written(inside.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    inside = written(inside.join(shared, "bucket").select("bucket", "c"), "shared-members")
     sizes = inside.groupBy("bucket").agg(
         F.count("*").alias("n"), F.min("c").alias("low"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("s1"),
-        F.sum(F.xxhash64(F.lit(1), "c").cast("decimal(38,0)")).alias("s2")).where("n > 1")
+        F.sum(F.xxhash64(F.lit(1), "c").cast("decimal(38,0)")).alias("s2"))
     kept = sizes.groupBy("n", "low", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = written(inside.join(kept, "bucket"), "vector-members")
     mine = members.groupBy("c").agg(F.collect_list("bucket").alias("kept"))

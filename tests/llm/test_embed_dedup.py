@@ -53,3 +53,29 @@ def test_plan():
     n = embed_dedup.plan_tables(0.95, 0.999, 1.0, 8)
     p = embed_dedup.hit_chance(math.sqrt(0.1), 1.0) ** 8
     assert 1 - (1 - p) ** n >= 0.999 and n < 200
+
+
+def test_key_follows_size_and_distances():
+    rng = np.random.default_rng(2)
+    far, near = rng.normal(1.41, .1, 5000), rng.normal(1.0, .1, 5000)
+    plans = [embed_dedup.plan_key(n, far, 0.95, 0.999, 2.0) for n in (10**3, 10**5, 10**7)]
+    assert plans == sorted(plans) and plans[0][0] < plans[2][0]
+    assert embed_dedup.plan_key(10**5, near, 0.95, 0.999, 2.0)[0] > plans[1][0]
+    # strangers that a vector meets grow far more slowly than the table
+    met = [n * t * np.mean([embed_dedup.hit_chance(d, 2.0) ** k for d in far]) for n, (k, t) in zip((10**3, 10**5, 10**7), plans)]
+    assert met[2] < 10 * max(met[0], 1)
+    p = embed_dedup.hit_chance(math.sqrt(0.1), 2.0)
+    assert all(1 - (1 - p**k) ** t >= 0.999 for k, t in plans)
+    assert embed_dedup.plan_key(0, np.zeros(0), 0.95, 0.999, 2.0)[1] >= 1
+
+
+def test_long_keys_find_the_same_links(spark):
+    rnd = random.Random(9)
+    rows = []
+    for g in range(60):
+        base = [rnd.gauss(0, 1) for _ in range(16)]
+        rows += [(10 * g + i, [x + rnd.gauss(0, .1) for x in base]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (None, 20):
+        got = embed_dedup.vector_components(df, k=k).collect()
+        assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == brute(rows)
