@@ -12,7 +12,7 @@ from scorelab.plans.analytics_queries import MEAN_COLS, _MEANS, _MEANS_LONG, _SP
 from scorelab.operators import metrics as M
 from scorelab.plans.text_queries import PROSE_MARKER, PROSE_WORDS, _duck_eval, _verdicts
 from scorelab.schemas import HEATMAP_METRICS, METRICS
-from scorelab.session import scratch_path
+from scorelab.session import open_writers, scratch_path
 from scorelab.sources import io
 
 
@@ -90,9 +90,11 @@ def summary_csv_by_name(spark, sf_dir):
     out = scratch_path(spark, "summary-by-name")
     rows = R.measurements(spark, sf_dir)
     first = rows.where(F.col("model").isin("1", "2", "3")).select("style_score", F.lit("x").alias("note"), "overall_score", "task_id", "model")
-    first.write.partitionBy("model").option("header", True).csv(out)
+    with open_writers(spark):
+        first.write.partitionBy("model").option("header", True).csv(out)
     rest = rows.where(~F.col("model").isin("1", "2", "3")).select("task_id", "passed", "overall_score", "model")
-    rest.write.mode("append").partitionBy("model").option("header", True).csv(out)
+    with open_writers(spark):
+        rest.write.mode("append").partitionBy("model").option("header", True).csv(out)
     back = io.read_summaries(spark, out, model_from="partition")
     return rounded(back.groupBy("model").agg(F.count("task_id").alias("n"), F.avg("overall_score").alias("overall_score"), F.avg("style_score").alias("style_score")))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -60,6 +61,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+@contextmanager
+def open_writers(spark: SparkSession, writers: int = 16):
+    """Writes by ``partitionBy`` in this block keep up to ``writers`` files open in a task instead of sorting all of its rows
+    by folder; rows of further folders are sorted, as without it."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, writers)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df):
     """Cut lineage with a reliable checkpoint in the session's checkpoint folder.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelab.schemas import SUMMARY_SCHEMA
-from scorelab.session import scratch_path
+from scorelab.session import open_writers, scratch_path
 
 #: Files up to so many bytes are parsed whole in one task; larger ones are split by the CSV reader.
 WHOLE_FILE = 64 << 20
@@ -27,7 +27,8 @@ def split_rows(df: DataFrame, reason: Column, path: str) -> tuple[DataFrame, Dat
     if "bad" in df.columns:
         raise ValueError("the column 'bad' names the folders of the two parts")
     rows = df.withColumn("reason", reason)
-    rows.withColumn("bad", F.col("reason").isNotNull()).write.partitionBy("bad").parquet(path)
+    with open_writers(df.sparkSession):
+        rows.withColumn("bad", F.col("reason").isNotNull()).write.partitionBy("bad").parquet(path)
     back = df.sparkSession.read.schema(T.StructType([*rows.schema.fields, T.StructField("bad", T.BooleanType())])).parquet(path)
     return back.where("not bad").drop("bad", "reason"), back.where("bad").drop("bad")
 
@@ -143,8 +144,8 @@ def load_summaries(spark: SparkSession, pattern: str, model_from: str = "file",
         scanned = scanned.unionByName(_scan_large(spark, large))
     name = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
     model = F.replace(F.url_decode(name), F.lit("_summary"), F.lit("")) if model_from == "file" else F.url_decode(F.regexp_extract("path", r"/model=([^/]*)/", 1))
-    typed = scanned.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in SUMMARY_SCHEMA.fields], model.alias("model"), "path", "line", "raw",
-                           F.col("reason").alias("why"))
+    typed = scanned.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in SUMMARY_SCHEMA.fields], model.alias("model"), F.when(F.col("reason").isNotNull(), F.col("path")).alias("path"),
+                           "line", "raw", F.col("reason").alias("why"))
     good, bad = split_rows(typed, F.col("why"), scratch_path(spark, "summaries"))
     return good.select(*SUMMARY_SCHEMA.fieldNames(), "model"), bad.select("path", "line", "reason", "raw")
 
