@@ -107,12 +107,14 @@ def _scan_large(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     by_head: dict[tuple, list[str]] = {}
     for path in paths:      # planning: one line of each large file
         by_head.setdefault(tuple(c.strip() for c in spark.read.option("header", True).csv(path).columns), []).append(path)
-    out = None
-    for head, files in sorted(by_head.items()):
+    none = [(*[None] * len(_COLUMNS), path, 1, "no summary header in line 1", ",".join(head))
+            for head in sorted(by_head) if "task_id" not in head for path in by_head[head]]
+    out = spark.createDataFrame(none, _SCANNED) if none else None
+    for head, files in sorted(x for x in by_head.items() if "task_id" in x[0]):
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(head))] + [T.StructField("_bad", T.StringType())])
         raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_bad").csv(files)
         more = F.regexp_count(F.coalesce("_bad", F.lit("")), F.lit(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')) >= len(head)
-        reason = F.when(F.lit("task_id" not in head), F.lit("no summary header in line 1")).when(more, F.concat(F.lit("more cells than the "), F.lit(str(len(head))), F.lit(" names")))
+        reason = F.when(more, F.concat(F.lit("more cells than the "), F.lit(str(len(head))), F.lit(" names")))
         cells = [F.when(reason.isNull(), F.col(f"c{head.index(c)}")) if c in head else F.lit(None).cast("string") for c in _COLUMNS]
         part = raw.select(*[x.alias(c) for x, c in zip(cells, _COLUMNS)], F.col("_metadata.file_path").alias("path"), F.lit(None).cast("bigint").alias("line"),
                           reason.alias("reason"), F.when(reason.isNotNull(), F.coalesce("_bad", F.lit(""))).alias("raw"))
