@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
-import re
 import warnings
 import zlib
 
@@ -38,31 +38,72 @@ _SCANNED = T.StructType([T.StructField(c, T.StringType()) for c in [*_COLUMNS, "
     T.StructField("line", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("raw", T.StringType())])
 
 
-def _text(content: bytes) -> str:
-    """A file's text; every member of a gzip file. Damaged or cut data raise."""
-    if content[:2] == b"\x1f\x8b":
-        out = []
-        while content:
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(content) + member.flush())
-            if not member.eof:
-                raise ValueError("the compressed data end too soon")
-            content = member.unused_data.lstrip(b"\0")
-        content = b"".join(out)
-    return content.decode("utf-8-sig")
+#: Bytes of a file that are decompressed, decoded and parsed at a time.
+PIECE = 1 << 20
 
 
-def _parse(path: str, content: bytes):
-    """(nine cells, path, line, reason, raw) of every row of a summary file; one row with a reason for a bad file."""
+def _pieces(content):
+    """A file's bytes in pieces; every member of a gzip file. Damaged or cut data raise."""
+    view, at = memoryview(content), 0
+    if bytes(view[:2]) != b"\x1f\x8b":
+        for at in range(0, len(view), PIECE):
+            yield bytes(view[at:at + PIECE])
+        return
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            data = bytes(view[at:at + PIECE])
+            if not data:
+                raise ValueError("the compressed data end too soon")
+            at += len(data)
+            full = True
+            while full and not member.eof:
+                out = member.decompress(data, PIECE)
+                data, full = member.unconsumed_tail, len(out) == PIECE
+                if out:
+                    yield out
+        at -= len(member.unused_data)
+        while at < len(view) and view[at] == 0:
+            at += 1
+
+
+class _Stream(io.RawIOBase):
+    """The pieces as a file."""
+
+    def __init__(self, pieces):
+        self.pieces, self.rest = pieces, b""
+
+    def readable(self):
+        return True
+
+    def readinto(self, buffer):
+        if not len(self.rest):
+            self.rest = memoryview(next(self.pieces, b""))     # no piece is empty
+        n = min(len(buffer), len(self.rest))
+        buffer[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def _blank(content) -> bool:
+    """Whether a file's text has no character but spaces; data that are damaged or not UTF-8 raise."""
+    decoder, blank = codecs.getincrementaldecoder("utf-8-sig")(), True
+    for piece in _pieces(content):
+        blank = not decoder.decode(piece).strip() and blank
+    return not decoder.decode(b"", True).strip() and blank
+
+
+def _parse(path: str, content):
+    """(nine cells, path, line, reason, raw) of every row of a summary file; one row with a reason for a bad file. The
+    text is read twice in pieces (is it whole? what does it say?) and never held."""
     nothing = [None] * len(_COLUMNS)
     try:
-        text = _text(content)
+        if _blank(content):
+            return
     except (ValueError, zlib.error) as e:
         yield *nothing, path, None, f"unreadable file: {e}", None
         return
-    if not text.strip():
-        return
-    rows = csv.reader(io.StringIO(re.sub(r'\\"', '""', text), newline=""))
+    lines = io.TextIOWrapper(io.BufferedReader(_Stream(_pieces(content))), encoding="utf-8-sig", newline="")
+    rows = csv.reader(line.replace('\\"', '""') for line in lines)
     try:
         head = [c.strip() for c in next(rows)]
         if "task_id" not in head:
@@ -92,7 +133,7 @@ def _scan_small(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content")):
                 rows = []
-                for row in _parse(path.as_py(), content.as_py()):
+                for row in _parse(path.as_py(), content.as_buffer()):
                     rows.append(row)
                     if len(rows) >= 10_000:
                         yield flush(rows)
