@@ -53,12 +53,13 @@ def stream_means(spark, sf_dir):
 @register("stream_means_updated", f"""SELECT model, count(*) AS n, round(avg(overall_score), 6) AS overall_score,
        round(avg(functional_correctness), 6) AS pass_rate FROM ({R.ORACLE_L}) GROUP BY model""")
 def stream_means_updated(spark, sf_dir):
-    """R2 in update mode: the table arrives in several files, each micro-batch writes the models that changed
+    """R2 in update mode: the table arrives in several files, a quarter of them at a time, each micro-batch writes the models that changed
     to a keyed sink; the first half is folded into a base, and the last batches are delivered again."""
     src, out = scratch_path(spark, "measurement-files"), scratch_path(spark, "updated-means")
     raw = R.raw_measurements(spark, sf_dir)
-    raw.repartition(4, "task_id").write.parquet(src)
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    files = -(-raw.rdd.getNumPartitions() // 2)     # of one arrival: with the input's splits, so that a file's rows are bounded
+    raw.repartition(4 * files, "task_id").write.parquet(src)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", files).parquet(src)
     means = S.running_means(S.score_stream(stream))
     sink = K.KeyedSink(spark, out, ["model"], means.schema)
     seen = []
