@@ -76,6 +76,24 @@ def test_pieces_equal_whole_texts(encoder, texts):
     assert encoded(encoder, texts) == [x.tolist() for x in encoder.whole(texts)]
 
 
+GAPS = st.lists(st.sampled_from([" ", "\n", "\n\n", "\r\n", "\u00a0", "\u1680", "\u180e", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff", "Of", "it's", "'re", ".", "!?", "#$",
+                                 "9", "\u00d7", "\u00f7", "\u00e9", "\u01c3", "\u024f", "\u0250", "\u1ea1", "\u10d0", "\u3042", "\u2014", "\ud55c", "\u0416", "\U00020000", "\u0301"]), max_size=20).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(GAPS, max_size=6))
+def test_cuts_equal_whole_texts(encoder, texts):
+    assert encoded(encoder, texts) == [x.tolist() for x in encoder.whole(texts)]
+
+
+def test_words_at_line_starts_are_words():
+    """Ends of lines do not multiply the words that begin lines: each is encoded once, without the regular expression."""
+    encoder = token_files.PieceEncoder(open(VOCABULARY, encoding="utf-8").read())
+    texts = [f"head{end}\n{word} on" for end in (".", "!", "?", ":", ",", ";") for word in ("Of", "The", "And", "Ein", "\u00c9t\u00e9")]
+    assert encoded(encoder, texts) == [x.tolist() for x in encoder.whole(texts)]
+    assert set(encoder.seen) == {".", "!", "?", ":", ",", ";", "\n", "Of", "The", "And", "Ein", "\u00c9t\u00e9", " on"}
+
+
 def test_cache_bound_and_small_joins(monkeypatch):
     monkeypatch.setattr(token_files, "CACHE", 3)
     monkeypatch.setattr(token_files, "JOINED", 8)
