@@ -94,6 +94,15 @@ def test_words_at_line_starts_are_words():
     assert set(encoder.seen) == {".", "!", "?", ":", ",", ";", "\n", "Of", "The", "And", "Ein", "\u00c9t\u00e9", " on"}
 
 
+def test_pieces_met_once_do_not_drive_out_others(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 8)
+    encoder = token_files.PieceEncoder(open(VOCABULARY, encoding="utf-8").read())
+    for texts in (["a common common"], *([f"a rare{i} scarce{i} few{i} odd{i} next{i}"] for i in "bcdefgh"), ["a fewh common"]):
+        assert encoded(encoder, texts) == [x.tolist() for x in encoder.whole(texts)]
+        assert len(encoder.once) <= 4 and len(encoder.once_before) <= 9
+    assert " common" in encoder.seen and " fewh" in encoder.seen and " rareb" not in encoder.once_before
+
+
 def test_cache_bound_and_small_joins(monkeypatch):
     monkeypatch.setattr(token_files, "CACHE", 3)
     monkeypatch.setattr(token_files, "JOINED", 8)
